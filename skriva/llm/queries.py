@@ -25,6 +25,14 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from skriva.llm.bpe import encode
+
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=False)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skriva.llm.simhash import near_duplicates
 
@@ -32,5 +40,5 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_repetition, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_repetition, op5_bpe, op8_simhash)}
 ORACLES: dict[str, str] = {}
