@@ -19,12 +19,29 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skriva.llm import warc
+
+    folder = warc.archive_folder(spark)
+    warc.write_bundles(table(spark, sf_dir, "pages"), folder)
+    r = warc.read_bundles(spark, folder, payloads=False)
+    return r.select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skriva.llm.repetition import repetition
 
     return repetition(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skriva.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,6 +50,27 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=False)
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skriva.llm.passages import repeated_passages
+
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    p = found.select(F.col("id").alias("doc_id"), F.col("partner").alias("partner_id"), F.explode("passages").alias("p"))
+    return p.select("doc_id", "partner_id", "p.start", "p.end", "p.partner_start", "p.partner_end", F.round("p.similarity", 6).alias("similarity"))
+
+
+def held_out(id_col: str = "doc_id"):
+    """Rows that nothing is learnt from: crc32 of the id as text leaves 0 modulo 5; so are rows without id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skriva.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skriva.llm.simhash import near_duplicates
 
@@ -40,5 +78,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_repetition, op5_bpe, op8_simhash)}
+def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skriva.llm import wrappers
+
+    pages = table(spark, sf_dir, "pages")
+    return wrappers.extract_pages(pages, wrappers.learn(pages)).select("page_id", "url", "text", "n_chars", "matched")
+
+
+def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skriva.llm import resample
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = resample.fit(docs, labels)
+    least = resample.threshold(docs, model)
+    return resample.scored(docs, model).select("doc_id", "log_ratio", "log_odds", "key", (F.col("key") >= least).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repetition, op4_toxicity, op5_bpe, op6_passages, op7_langid, op8_simhash, op9_wrappers, op10_resample)}
 ORACLES: dict[str, str] = {}
