@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skriva.llm import kernels as K
+from skriva.llm.support import cut
 
 WINDOW = 13
 BLOCK_CHARS = 8 << 20
@@ -125,14 +126,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     ``keep`` names further columns of ``docs`` to carry, the text among them if wanted.
     """
-    from skriva.llm.support import cut
-
     blocks = _item_blocks(benchmark, item_id, item_text, block_chars)
     carried = list(dict.fromkeys([id_col, *keep]))
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    out = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carried)), F.col(f"`{text_col}`").alias("t"))
-    head = ", ".join(f"c{k} {types[c]}" for k, c in enumerate(carried))
-    out = out.withColumns({"words": F.lit(0).cast("bigint"), "ranges": F.lit(None).cast("array<bigint>"), "items": F.lit(None).cast("array<string>")})
+    read = carried if text_col in carried else [*carried, text_col]
+    n, text_at = len(read), read.index(text_col)
+    names = [f"c{k}" for k in range(n)]
+    out = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(read)))
+    out = out.withColumns({"ranges": F.lit(None).cast("array<bigint>"), "items": F.lit(None).cast("array<string>")})
     session = docs.sparkSession
     block = next(blocks)
     while block is not None:
@@ -144,35 +145,45 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             items, key = sent.value
             words = _of(items, window, key)
             for batch in batches:
-                n, texts = len(carried), K.texts(batch.column(len(carried)))
-                before_r, before_i = batch.column(n + 2).to_pylist(), batch.column(n + 3).to_pylist()
                 counts, ranges, ids, hits, spans = [], [], [], [], []
-                for text, r0, i0 in zip(texts, before_r, before_i, strict=True):
+                for text, r0, i0 in zip(K.texts(batch.column(text_at)), batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
                     total, found, of = scan(text, words)
                     if r0:
-                        found = np.concatenate((np.array(r0, np.int64).reshape(-1, 2), found))
-                        found = _merge(found)
+                        found = _merge(np.concatenate((np.array(r0, np.int64).reshape(-1, 2), found)))
                     counts.append(total)
                     ranges.append(found.ravel().tolist())
                     ids.append(sorted({*(i0 or ()), *(items[k][0] for k in of)}))
                     if last:
                         hits.append(int((found[:, 1] - found[:, 0] + 1).sum()))
                         spans.append([{"start": a, "end": b} for a, b in offsets(text, found)] if len(found) else [])
-                own = [batch.column(k) for k in range(n)]
                 if last:
                     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, kind)], [*(f"c{k}" for k in range(n)), "n_words", "n_hit", "items", "spans"])
+                    own = [batch.column(k) for k in range(len(carried))]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, kind)], [*names[: len(carried)], "n_words", "n_hit", "items", "spans"])
                 else:
-                    yield pa.RecordBatch.from_arrays([*own, batch.column(n), pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], [*(f"c{k}" for k in range(n)), "t", "words", "ranges", "items"])
+                    own = [batch.column(k) for k in range(n)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(ranges, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], [*names, "ranges", "items"])
 
-        if last:
-            out = out.mapInArrow(run, f"{head}, n_words bigint, n_hit bigint, items array<string>, spans {SPANS}")
-        else:
-            out = cut(out.mapInArrow(run, f"{head}, t {types[text_col]}, words bigint, ranges array<bigint>, items array<string>"))
+        head = ", ".join(f"c{k} {types[c]}" for k, c in enumerate(carried if last else read))
+        out = out.mapInArrow(run, f"{head}, n_words bigint, n_hit bigint, items array<string>, spans {SPANS}" if last else f"{head}, ranges array<bigint>, items array<string>")
+        out = out if last else cut(out)
         block = following
     return out.withColumnsRenamed({f"c{k}": c for k, c in enumerate(carried)})
 
 
+def contaminated():
+    """The rule of the queries: a hit, and a twentieth of the words or more are hit."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the contaminated ones."""
+    numbered = docs.toDF(*(f"d{k}" for k in range(len(docs.columns))))  # no clash with what is added
+    at = docs.columns.index(text_col)
+    found = decontaminate(numbered, benchmark, id_col="d0", text_col=f"d{at}", keep=tuple(numbered.columns), **options)
+    return found.where(~contaminated()).select(*(F.col(f"d{k}").alias(c) for k, c in enumerate(docs.columns)))
+
+
 def _merge(ranges: np.ndarray) -> np.ndarray:
     out: list[list[int]] = []
     for a, b in sorted(map(tuple, ranges.tolist())):

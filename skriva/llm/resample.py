@@ -15,7 +15,7 @@ bins, not by sorting.
 Cases: a null or empty text has no n-grams and gets the log odds of a ratio of zero.
 Rows with equal id and text have one key, and keys tied with the k-th all stay.  With no
 labelled good text nothing is known and everything stays.  Empty tables give an empty
-result.  Other columns are carried only where ``select`` returns documents.
+result.  ``draw`` carries all columns as they are.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = got.select(F.col(text_col).alias("t"), F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("t"), "y").toArrow().combine_chunks()
     y = np.array(got.column("y").to_pylist(), float)
     data, off = K.utf8(got.column("t").combine_chunks() if len(y) else pa.array([], pa.string()))
-    target, held = np.ones(BUCKETS), np.zeros((0, 2))
+    target = np.ones(BUCKETS)
     learnt = np.arange(len(y)) % 4 > 0
     for i, j, b, of in pieces(data, off):
         use = ((y[i:j] > 0) & learnt[i:j])[of]
@@ -130,7 +130,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model(np.log((target - 1 + 200_000 * share) / (target.sum() - BUCKETS + 200_000)) - np.log(share), 1.0, 0.0)
     w = model.weights(data, off)[~learnt]
     model.slope, model.shift = _logistic(w, y[~learnt] > 0)
-    del held
     return model
 
 
@@ -198,7 +197,26 @@ def kth_key(keys: DataFrame, k: int, bins: int = 4096) -> float:
 
 def threshold(docs: DataFrame, model: Model | None, k: int | None = None, **options) -> float:
     """Key that a document must reach to be among the k drawn."""
+    if model is None:
+        return float("-inf")
     keys = cut(scored(docs, model, **options).select("key", (1 / (1 + F.exp(-F.col("log_odds")))).alias("p")))
     if k is None:
         k = round(keys.agg(F.sum("p")).first()[0] or 0)
     return kth_key(keys, k)
+
+
+def draw(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that are drawn; their texts are weighed again rather than shuffled."""
+    least = threshold(docs, model, k, id_col=id_col, text_col=text_col, temperature=temperature, seed=seed)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            if m and batch.num_rows:
+                key = m.odds(m.weights(*K.utf8(batch.column(text_at)))) + temperature * gumbel(batch.column(id_at).to_pylist(), seed)
+                batch = batch.filter(pa.array(key >= least))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)

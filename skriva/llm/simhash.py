@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skriva.llm import kernels as K
-from skriva.llm.support import components, cut
+from skriva.llm.support import components, cut, small_side
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 REFERENCES = np.random.default_rng(7).integers(0, 1 << 64, 16, dtype=np.uint64, endpoint=False)
@@ -157,3 +157,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = label.join(merged, "label", "left_semi").groupBy("label").agg(F.min("least").alias("component_id"))
     of_print = cut(label.join(several, "label", "left").select(F.col("fp").alias("f"), F.coalesce("component_id", "least").alias("component_id")))
     return prints.join(of_print, prints.fp == of_print.f, "left").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group: that with the least id.
+
+    Rows that repeat an id and a text count as one; rows without id stay.
+    """
+    found = cut(near_duplicates(docs, id_col, text_col))
+    drop = cut(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("drop_id")))
+    kept = docs.join(small_side(drop, 16), docs[id_col] == drop.drop_id, "left_anti")
+    again = cut(found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("again_id")).agg(F.count("*").alias("n")).where("n > 1").select("again_id"))
+    if again.isEmpty():
+        return kept
+    again = small_side(again, 16)
+    once = kept.join(again, kept[id_col] == again.again_id, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, kept[id_col] == again.again_id, "left_anti").unionByName(once)
