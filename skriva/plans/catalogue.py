@@ -1,18 +1,6 @@
-"""Registered queries over the reference tables and their SQL."""
+"""All registered queries over the reference tables and their SQL."""
 
-from __future__ import annotations
+from skriva.plans import cue_queries, level_queries, report_queries, score_queries, stat_queries, text_queries  # noqa: F401
+from skriva.plans.registered import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def weighted_error(spark: SparkSession, d: str) -> DataFrame:
-    x = spark.read.parquet(f"{d}/lineitem.parquet")
-    w = F.sum(F.col("l_discount") * F.col("l_quantity")) / F.sum("l_quantity")
-    return x.groupBy(F.col("l_returnflag").alias("unit")).agg(F.round(w, 6).alias("error_rate"), F.sum("l_quantity").alias("ref_units"), F.count("*").alias("n_files"))
-
-
-QUERIES = {"weighted_error": weighted_error}
-ORACLES = {
-    "weighted_error": "select l_returnflag as unit, round(sum(l_discount*l_quantity)/sum(l_quantity), 6) as error_rate, sum(l_quantity) as ref_units, count(*) as n_files from lineitem group by 1",
-}
+__all__ = ["ORACLES", "QUERIES"]
