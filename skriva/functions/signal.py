@@ -19,7 +19,7 @@ def let(value: Column, body) -> Column:
 
 
 def _db(x: Column, floor: float) -> Column:
-    return 20.0 * F.log10(F.greatest(x.cast("double"), F.lit(floor)))
+    return F.when(x.isNotNull(), 20.0 * F.log10(F.greatest(x.cast("double"), F.lit(floor))))
 
 
 def peak(samples: Column) -> Column:

@@ -130,7 +130,7 @@ def reference_text(path: Column, raw: Column) -> Column:
 
 def number(v: Column, digits: int = 0, suffix: str = "") -> Column:
     """A value to print; nothing known is a dash."""
-    return F.coalesce(F.format_string(f"%.{digits}f{suffix.replace('%', '%%')}", v.cast("double")), F.lit("-"))
+    return F.when(v.isNull(), "-").otherwise(F.format_string(f"%.{digits}f{suffix.replace('%', '%%')}", v.cast("double")))
 
 
 def percent(v: Column, digits: int = 2) -> Column:
