@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skriva.llm.repetition import LINE_SHARE, NGRAM_SHARES
 from skriva.llm.support import table
 
 
@@ -95,4 +96,50 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repetition, op4_toxicity, op5_bpe, op6_passages, op7_langid, op8_simhash, op9_wrappers, op10_resample)}
-ORACLES: dict[str, str] = {}
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NORMAL = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_COVER = "max({flag}) over (partition by doc_id order by pos rows between {back} preceding and current row)"
+
+
+def _grams(lengths: tuple[int, ...]) -> str:
+    """CTEs g{n}: each word with whether it lies in a window of n words that recurs (again) or occurred before (later)."""
+    parts = []
+    for n in lengths:
+        whole = f"pos + {n} <= n_words"
+        parts.append(
+            f"""f{n} as (select doc_id, pos, size, case when {whole} then count(*) over (partition by doc_id, gram) end as times, case when {whole} then row_number() over (partition by doc_id, gram order by pos) end as nth
+            from (select *, case when {whole} then array_to_string(w[pos + 1:pos + {n}], chr(10)) end as gram from words)),
+            g{n} as (select doc_id, size, coalesce({_COVER.format(flag="(times > 1)::int", back=n - 1)}, 0) as again, coalesce({_COVER.format(flag="(nth > 1)::int", back=n - 1)}, 0) as later from f{n}),
+            s{n} as (select doc_id, sum(again)::bigint as n_again, sum(later * size)::bigint as later_chars from g{n} group by doc_id)"""
+        )
+    return ", ".join(parts)
+
+
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": f"""with i as (select item_id::varchar as item_id, {_NORMAL} as w from benchmark where item_id is not null),
+        p as (select distinct item_id, least(len(w), 13) as n, array_to_string(w[k + 1:k + least(len(w), 13)], ' ') as window from (select item_id, w, unnest(range(greatest(len(w) - 12, least(len(w), 1)))) as k from i)),
+        d as (select doc_id, {_NORMAL} as w from documents), n as (select distinct n from p),
+        spots as (select doc_id, w, n, unnest(range(greatest(len(w) - n + 1, 0))) as k from d, n),
+        hit as (select doc_id, k, spots.n, item_id from spots join p on p.n = spots.n and p.window = array_to_string(w[k + 1:k + spots.n], ' ')),
+        words as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(k, k + n)) as pos from (select distinct doc_id, k, n from hit)) group by doc_id),
+        items as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from hit) group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join words using (doc_id) left join items using (doc_id)""",
+    "op2_warc": """with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h, min(page_id) over (partition by coalesce(html, '')) as least from pages)
+        select page_id, strlen(html)::bigint as payload_bytes,
+        list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, ((i // 4) * 5 + 1)::bigint, 5))::bigint >> (15 - 5 * (i % 4))::bigint) & 31) + 1)::bigint, 1)), 'string_agg', '') as payload_digest,
+        case when page_id = least then 'response' else 'revisit' end as record_type, case when page_id > least then least end as refers_to from p""",
+    "op3_repetition": f"""with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+        words as (select doc_id, w, len(w) as n_words, unnest(range(len(w))) as pos, length(unnest(w)) as size from d),
+        {_grams((3, *NGRAM_SHARES))},
+        l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from d),
+        m as (select doc_id, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) as size, row_number() over (partition by doc_id, line order by k) as nth from l),
+        lines as (select doc_id, count(*) as n, sum(size)::bigint as chars from m where nth > 1 and size > 0 group by doc_id),
+        c as (select d.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+        coalesce(lines.n, 0)::bigint as n_dup_lines, coalesce(lines.chars, 0) as line_chars, coalesce(s3.n_again, 0)::bigint as n_repeat_words, {", ".join(f"coalesce(s{n}.later_chars, 0) as c{n}" for n in NGRAM_SHARES)}
+        from d left join lines using (doc_id) left join s3 using (doc_id) {" ".join(f"left join s{n} using (doc_id)" for n in NGRAM_SHARES)}),
+        b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        not base_failed and line_chars <= {LINE_SHARE}::double * word_chars and {" and ".join(f"c{n} <= {share}::double * word_chars" for n, share in NGRAM_SHARES.items())} as kept from b""",
+}
