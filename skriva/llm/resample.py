@@ -7,8 +7,8 @@ ratio target / raw, averaged over a text's n-grams, is its importance weight; a
 curve fitted on the labelled sample turns it into the log odds of being good.
 
 Documents are then drawn without replacement by Gumbel top-k: log odds plus Gumbel noise
-(scaled by ``temperature``), the k greatest stay.  k is given, or the number of good
-documents that the odds themselves predict.  The noise is a hash of id and seed, so a
+(scaled by ``temperature``), the k greatest stay.  k is given, or the number of documents
+that are more likely good than not.  The noise is a hash of id and seed, so a
 task that runs again decides alike.  The k-th key is found by counting keys in ever finer
 bins, not by sorting.
 
@@ -199,10 +199,8 @@ def threshold(docs: DataFrame, model: Model | None, k: int | None = None, **opti
     """Key that a document must reach to be among the k drawn."""
     if model is None:
         return float("-inf")
-    keys = cut(scored(docs, model, **options).select("key", (1 / (1 + F.exp(-F.col("log_odds")))).alias("p")))
-    if k is None:
-        k = round(keys.agg(F.sum("p")).first()[0] or 0)
-    return kth_key(keys, k)
+    keys = cut(scored(docs, model, **options).select("key", "log_odds"))
+    return kth_key(keys, keys.where("log_odds >= 0").count() if k is None else k)
 
 
 def draw(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
