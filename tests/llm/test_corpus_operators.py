@@ -244,3 +244,18 @@ def test_registered_names():
 
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11))
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    docs, planted = docs_with_repeats(random.Random(7))
+    rows = [(i, " ".join(w)) for i, w in docs.items()] + [(100 + i, " ".join(docs[20])) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    result = lambda: {(r.id, r.partner): [tuple(p)[:2] for p in r.passages] for r in passages.repeated_passages(frame).collect()}
+    calm = result()
+    monkeypatch.setattr(passages, "SAMPLE", 1)
+    monkeypatch.setattr(passages, "HOT", 2)
+    assert len(passages.hot_keys(frame.toDF("id", "t"))) > 5
+    salted = result()
+    linked = lambda found: {i for i, _ in found}
+    assert linked(salted) == linked(calm) == {i for i, (p, _) in planted.items() if p} | {100 + i for i in range(40)}
+    assert all(any(s == (0, 120) for s in salted[k]) for k in salted if k[0] >= 100)
