@@ -197,3 +197,10 @@ def busy_reasons(load: Column, cpus: Column, gpu_gb: Column, swapouts: Column, o
         F.when(on_battery, "battery"), F.when(low_power, "low power mode"),
     )
     return F.filter(found, lambda r: r.isNotNull())
+
+
+def rewrite(s: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Replacements one after the other; the order matters."""
+    for old, new in pairs:
+        s = F.replace(s, F.lit(old), F.lit(new))
+    return s

@@ -143,3 +143,9 @@ def rank_stability(rows: DataFrame, threshold: str, label: str, value: str) -> D
     """One row: how many orders of labels the thresholds give, and whether it is one."""
     order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(value, label))), lambda s: s[label].cast("string")), ",")
     return rows.groupBy(threshold).agg(order.alias("ranking")).agg(F.count_distinct("ranking").alias("orders")).withColumn("stable", F.col("orders") == 1)
+
+
+def projected_hours(corpus_hours: Column | float, x_realtime: Column) -> Column:
+    """How long a corpus takes at a measured speed; null where nothing was measured."""
+    h = corpus_hours if isinstance(corpus_hours, Column) else F.lit(corpus_hours)
+    return F.when(x_realtime > 0, h / x_realtime)
