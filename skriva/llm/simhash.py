@@ -40,29 +40,48 @@ REFERENCES = np.random.default_rng(7).integers(0, 1 << 64, 16, dtype=np.uint64,
 SEGMENTS = (13, 13, 13, 13, 12)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 15
+_WORD_BYTES = bytes(c for c in range(256) if not K.SPACE[c])
+
+
+def _parts(text: bytes) -> Iterator[list[bytes]]:
+    """Words of a lower-cased text, in pieces of about BLOCK bytes that begin with the last words of the one before."""
+    before: list[bytes] = []
+    at = 0
+    while at < len(text):
+        top = min(len(text), at + K.BLOCK)
+        while top < len(text):  # to the end of the word
+            tail = text[top : top + 64]
+            left = tail.lstrip(_WORD_BYTES)
+            top += len(tail) - len(left)
+            if left:
+                break
+        w = before + text[at:top].translate(_LOWER).split()  # split() takes exactly 0x20 and 0x09-0x0D
+        if len(w) >= SHINGLE or top == len(text):
+            yield w
+            before = w[-(SHINGLE - 1) :]
+        else:
+            before = w
+        at = top
 
 
 def fingerprint(text: bytes) -> int:
-    w = text.translate(_LOWER).split()  # bytes.split() splits at exactly 0x20 and 0x09-0x0D
-    n = len(w)
-    if not n:
-        return 0
-    line = b" ".join(w)
-    digest = xxhash.xxh64_intdigest
-    if n < SHINGLE:
-        return digest(line, SEED)
-    size = np.fromiter(map(len, w), np.int64, n)
-    ends = np.cumsum(size + 1) - 1
-    starts = (ends - size).tolist()
-    ends = ends[SHINGLE - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
-    m = n - SHINGLE + 1
-    for lo in range(0, m, _CHUNK):
-        hi = min(m, lo + _CHUNK)
-        h = np.array([digest(line[a:b], SEED) for a, b in zip(starts[lo:hi], ends[lo:hi], strict=True)], np.uint64)
-        ones += _bit_counts(h)
+    digest, ones, m = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0
+    for w in _parts(text):
+        n = len(w)
+        if n < SHINGLE:
+            if m or not n:
+                continue  # the end of a longer text: its words were counted
+            return digest(b" ".join(w), SEED)
+        line = b" ".join(w)
+        size = np.fromiter(map(len, w), np.int64, n)
+        ends = np.cumsum(size + 1) - 1
+        starts, ends = (ends - size).tolist(), ends[SHINGLE - 1 :].tolist()
+        for lo in range(0, len(ends), _CHUNK):
+            hi = min(len(ends), lo + _CHUNK)
+            ones += _bit_counts(np.array([digest(line[a:b], SEED) for a, b in zip(starts[lo:hi], ends[lo:hi], strict=True)], np.uint64))
+        m += len(ends)
     bits = (2 * ones > m).astype(np.uint64)
-    return int((bits << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
+    return int((bits << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64)) if m else 0
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
