@@ -128,7 +128,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= chars))
     n = known.select(id_col).count()
     part = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 30))
-    got = known.where(part < int(min(1.0, rows / max(1, n)) * (1 << 30))).select(text_col, lang_col).orderBy(F.xxhash64(text_col), lang_col).toArrow()
+    got = known.where(part < int(min(1.0, rows / max(1, n)) * (1 << 30))).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(text_col).alias("h")).toArrow().sort_by([("h", "ascending"), ("l", "ascending")]).combine_chunks()
     return train(K.texts(got.column(0).combine_chunks()), got.column(1).to_pylist())
 
 

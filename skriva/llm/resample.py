@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = F.pmod(F.xxhash64(F.lit("quality"), F.col(id_col)), F.lit(1 << 30)) < int(min(1.0, rows / max(1, marked.count())) * (1 << 30))
     chosen = marked.where(part).groupBy(F.col(id_col).alias("k")).agg(F.min(label_col).alias("y"))  # bounded by ``rows``
     got = docs.where(part & F.col(text_col).isNotNull() & (F.length(text_col) <= chars)).join(F.broadcast(chosen), F.col(id_col) == F.col("k"))
-    got = got.select(F.col(text_col).alias("t"), F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("t"), "y").toArrow().combine_chunks()
+    got = got.select(F.col(text_col).alias("t"), F.col("y").cast("int").alias("y"), F.xxhash64(F.col(text_col)).alias("h")).toArrow().sort_by([("h", "ascending"), ("y", "ascending")]).combine_chunks()
     y = np.array(got.column("y").to_pylist(), float)
     data, off = K.utf8(got.column("t").combine_chunks() if len(y) else pa.array([], pa.string()))
     target = np.ones(BUCKETS)

@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = F.pmod(F.xxhash64(F.lit("toxicity"), F.col(id_col)), F.lit(1 << 30)) < int(min(1.0, rows / max(1, n)) * (1 << 30))
     chosen = marked.where(part).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("y"))  # bounded by ``rows``
     got = docs.where(part & F.col(text_col).isNotNull() & (F.length(text_col) <= chars)).join(F.broadcast(chosen), F.col(id_col) == F.col("k"))
-    got = got.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("k"), "t").toArrow().combine_chunks()
+    got = got.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col("y").cast("int").alias("y"), F.xxhash64("k", text_col).alias("h")).toArrow().sort_by([("h", "ascending")]).combine_chunks()
     return build(K.texts(got.column("t").combine_chunks()), [int(y > 0) for y in got.column("y").to_pylist()], got.column("k").to_pylist())
 
 
