@@ -13,7 +13,9 @@ from skriva.operators.joins import asof, band, greedy
 def timeline(cues: DataFrame, by: str = "file_id", normal: bool = True) -> DataFrame:
     """(by, char_pos, ch, t_s): each character of a cue at its share of the cue's time; empty cues have none."""
     said = text.normalize_chars(F.col("text")) if normal else text.drop_marks(F.col("text"))
-    rows = cues.select(by, "cue_idx", "start_s", "end_s", F.posexplode(text.characters(said)).alias("i", "ch"), F.length(said).alias("n"))
+    line = cues.select(by, "cue_idx", "start_s", "end_s", text.characters(said).alias("line"))
+    line = line.withColumn("n", F.size("line"))  # below the explosion: once a cue, not once a character
+    rows = line.select(by, "cue_idx", "start_s", "end_s", "n", F.posexplode("line").alias("i", "ch"))
     at = F.col("start_s") + F.greatest(F.col("end_s") - F.col("start_s"), F.lit(1e-6)) * (F.col("i") + 0.5) / F.col("n")
     return rows.select(by, (F.row_number().over(Window.partitionBy(by).orderBy("cue_idx", "i")) - 1).alias("char_pos"), "ch", at.alias("t_s"))
 
