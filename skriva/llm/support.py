@@ -6,6 +6,7 @@ Every intermediate that is reused is cut with ``checkpoint()`` in the folder tha
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of plans that were cut and that nothing holds any more.
+
+    It acts when the driver collects garbage, which a driver with little to do hardly
+    ever does; until then the files of every earlier step stay on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` (already cut) marked for broadcast if count x row_bytes stays in the limit, else unmarked."""
     n = df.limit(limit // row_bytes + 1).count()
