@@ -12,7 +12,7 @@ that lie inside it.  Rows of one key form a star around the one with the least i
 stream by in key order, no group is collected); keys that a sample shows to be hot are
 dealt into shares, whose first rows form a star of their own.  Stars are gathered by pair of documents;
 where windows of at least ENOUGH hash functions meet in overlapping intervals, both texts
-are fetched and the passages verified: maximal runs of common shingles, small gaps
+are fetched and the passages verified: maximal runs of common shingles on one diagonal, small gaps
 allowed, whose shingle sets have a Jaccard similarity of SIMILARITY or more.
 
 A place whose star did not verify (a short phrase that many texts share) is filed once
@@ -45,6 +45,8 @@ HASHES, ENOUGH = 3, 2
 WINDOW = MIN_WORDS - SHINGLE + 1  # in shingles
 CONTEXT = (MIN_WORDS + SHINGLE) // 2  # of p+5 and 50-p words one is as long
 GAP = 2 * SHINGLE
+#: A passage of MIN_WORDS words and SIMILARITY has this many shingles in a row unchanged: one word in the middle changed leaves 41 of 46.
+SEED = (WINDOW - SHINGLE + 1) // 2
 #: A key is hot with HOT rows in a sample of one document in SAMPLE; it is dealt into SALTS shares.
 SAMPLE, HOT, HOT_KEYS, SALTS = 32, 8, 20_000, 32
 _ANCHORS = "key bigint, salt int, id bigint, at bigint"
@@ -187,59 +189,81 @@ def _shingles(text: bytes) -> np.ndarray:
     return K.rolling(K.all_words(data, 0, len(data))[2], SHINGLE)
 
 
+def _extent(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many values a[i:] and b[j:] have in common from their beginning."""
+    n, k, size = min(len(a) - i, len(b) - j), 0, 64
+    while k < n:
+        m = min(size, n - k)
+        other = a[i + k : i + k + m] != b[j + k : j + k + m]
+        if other.any():
+            return k + int(other.argmax())
+        k, size = k + m, 2 * size
+    return n
+
+
+def _starts(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where the maximal common runs of SEED values or more begin, on every diagonal."""
+    one, two = K.rolling(a, SEED), K.rolling(b, SEED)
+    order = np.argsort(two, kind="stable")
+    s = two[order]
+    lo, hi = np.searchsorted(s, one), np.searchsorted(s, one, "right")
+    for i in np.flatnonzero(hi > lo).tolist():
+        j = order[lo[i] : hi[i]]
+        if i:
+            j = j[(j == 0) | (b[j - 1] != a[i - 1])]
+        for x in j.tolist():
+            yield i, x
+
+
+def _onward(a: np.ndarray, b: np.ndarray, i: int, j: int) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of the common runs that follow i, j, with gaps under GAP."""
+    out = []
+    while True:
+        di, dj = np.nonzero(a[i : i + GAP, None] == b[None, j : j + GAP])
+        if not len(di):
+            return out
+        k = int((di + dj).argmin())
+        i, j = i + int(di[k]), j + int(dj[k])
+        n = _extent(a, b, i, j)
+        out.append((i, j, n))
+        i, j = i + n, j + n
+
+
 def similar_runs(a: np.ndarray, b: np.ndarray, width: int = WINDOW, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
-    """Passages (start, end, partner_start, partner_end in words, similarity) of shingle lists a and b."""
-    order = np.argsort(b, kind="stable")
-    s = b[order]
-    lo = np.searchsorted(s, a)
-    hit = lo < len(s)
-    hit[hit] = s[lo[hit]] == a[hit]
-    at = np.flatnonzero(hit)
+    """Passages (start, end, partner_start, partner_end in words, similarity) of shingle lists a and b.
+
+    Common runs are followed on their own diagonal, so a passage is found wherever else its
+    parts stand in b.  Of a chain of runs every longest part that is similar enough counts.
+    """
+    runs: list[tuple[int, int, int, int, float]] = []
+    seen: set[tuple[int, int]] = set()
+    back_a, back_b = a[::-1], b[::-1]
+    for i, j in _starts(a, b):
+        if (i, j) in seen:
+            continue
+        n = _extent(a, b, i, j)
+        before = [(len(a) - x - m, len(b) - y - m, m) for x, y, m in _onward(back_a, back_b, len(a) - i, len(b) - j)]
+        chain = [*before[::-1], (i, j, n), *_onward(a, b, i + n, j + n)]
+        seen.update((x, y) for x, y, _ in chain)
+        x, y, m = np.array(chain).T
+        total, done = np.concatenate(([0], np.cumsum(m))), -1
+        for k in range(len(chain)):
+            same, one, two = total[k + 1 :] - total[k], (x + m)[k:] - x[k], (y + m)[k:] - y[k]
+            for e in np.flatnonzero((one >= width) & (same >= similarity * (one + two - same)))[::-1].tolist():
+                if k + e <= done:
+                    break
+                p, q, u, v = int(x[k]), int(x[k] + one[e]), int(y[k]), int(y[k] + two[e])
+                p_set, u_set = np.unique(a[p:q]), np.unique(b[u:v])
+                both = len(np.intersect1d(p_set, u_set, assume_unique=True))
+                s = both / (len(p_set) + len(u_set) - both)
+                if s >= similarity:
+                    runs.append((p, q + SHINGLE - 1, u, v + SHINGLE - 1, s))
+                    done = k + e
+                    break
     out: list[tuple[int, int, int, int, float]] = []
-    if not len(at):
-        return out
-    # where each common shingle stands in b: of several places the one that goes on from the last
-    spot = np.empty(len(at), np.int64)
-    last = -2
-    for n, x in enumerate(at.tolist()):
-        p = lo[x]
-        near = order[p]
-        if p + 1 < len(s) and s[p + 1] == a[x]:
-            top = int(np.searchsorted(s, a[x], "right"))
-            places = order[p:top]
-            k = int(np.searchsorted(places, last + 1))
-            near = places[min(k, len(places) - 1)]
-        spot[n] = last = int(near)
-    step, jump = np.diff(at), np.diff(spot)
-
-    def runs(broken: np.ndarray) -> Iterator[tuple[int, int]]:
-        edge = np.concatenate(([0], np.flatnonzero(broken) + 1, [len(at)]))
-        for x, y in zip(edge[:-1], edge[1:], strict=True):
-            if at[y - 1] - at[x] + 1 >= width:
-                yield int(x), int(y)
-
-    def accept(x: int, y: int) -> bool:
-        p, q = int(at[x]), int(at[y - 1]) + 1
-        u, v = int(spot[x:y].min()), int(spot[x:y].max()) + 1
-        one, two = np.unique(a[p:q]), np.unique(b[u:v])
-        both = len(np.intersect1d(one, two, assume_unique=True))
-        j = both / (len(one) + len(two) - both)
-        if j >= similarity:
-            out.append((p, q + SHINGLE - 1, u, v + SHINGLE - 1, j))
-        return j >= similarity
-
-    exact = (step != 1) | (jump != 1)
-    for x, y in runs((step > GAP) | (np.abs(jump - step) > GAP)):
-        if not accept(x, y):  # too many changes for one passage: its unchanged parts
-            inner = exact.copy()
-            inner[: max(0, x - 1)] = True
-            if x:
-                inner[x - 1] = True
-            if y <= len(inner):
-                inner[y - 1] = True
-            for p, q in runs(inner):
-                if p >= x and q <= y:
-                    accept(p, q)
+    for r in sorted(runs, key=lambda r: (r[0], -r[1], -r[4])):  # none within another
+        if not out or r[1] > out[-1][1]:
+            out.append(r)
     return out
 
 
