@@ -1,19 +1,19 @@
 """Substring deduplication: passages of MIN_WORDS words or more that recur in other documents.
 
-Words (A-Z lower-cased, cut at white space) give five-word shingles; HASHES min-hash
-functions order them.  Under one function the Cartesian tree of a text's hash values has a
-node (l, c, r) for every group of subsequences that share their minimum at c: a compact
-window.  Nodes too narrow for a passage are never made: the minima of sliding windows
-are the only candidates, and one pass over these with a stack gives their bounds.
-
-A passage shared word for word holds its minimum and, before or after it, at least
-CONTEXT words; so a window is filed under the hash of the CONTEXT words on either side
-that lie inside it.  Rows of one key form a star around the one with the least id (rows
+Words (A-Z lower-cased, cut at white space) give five-word shingles.  Of a passage of
+MIN_WORDS words whose shingle set has a Jaccard similarity of SIMILARITY with its copy, RUN
+words in a row are unchanged, since a change takes four or five shingles.  So a text is
+filed under its compact windows of RUN words: the min-hash of the grams of CONTEXT words
+in every window of RUN words is a key, and two texts with such a passage have a key in common.
+One hash function is enough for that.  The bounds of the windows (``compact_windows``) are not
+needed: there is no join of intervals, whole texts are compared once a key meets.
+
+Rows of one key form a star around the one with the least id (rows
 stream by in key order, no group is collected); keys that a sample shows to be hot are
-dealt into shares, whose first rows form a star of their own.  Stars are gathered by pair of documents;
-where windows of at least ENOUGH hash functions meet in overlapping intervals, both texts
-are fetched and the passages verified: maximal runs of common shingles on one diagonal, small gaps
-allowed, whose shingle sets have a Jaccard similarity of SIMILARITY or more.
+dealt into shares, whose first rows form a star of their own.  Stars are gathered by pair
+of documents, both texts are fetched and the passages verified: maximal runs of common
+shingles on one diagonal, small gaps allowed, whose shingle sets have a Jaccard similarity
+of SIMILARITY or more.
 
 A place whose star did not verify (a short phrase that many texts share) is filed once
 more, exactly: under the hashes of all windows of MIN_WORDS words around it.  A star of
@@ -41,16 +41,17 @@ from skriva.llm import kernels as K
 from skriva.llm.support import cut, release, small_side
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
-HASHES, ENOUGH = 3, 2
 WINDOW = MIN_WORDS - SHINGLE + 1  # in shingles
-CONTEXT = (MIN_WORDS + SHINGLE) // 2  # of p+5 and 50-p words one is as long
 GAP = 2 * SHINGLE
 #: A passage of MIN_WORDS words and SIMILARITY has this many shingles in a row unchanged: one word in the middle changed leaves 41 of 46.
 SEED = (WINDOW - SHINGLE + 1) // 2
+#: So it has these words in a row.  Of every window of SPREAD grams of CONTEXT words the least hash is a key: all lie in RUN words.
+RUN = SEED + SHINGLE - 1
+CONTEXT = 16
+SPREAD = RUN - CONTEXT + 1
 #: A key is hot with HOT rows in a sample of one document in SAMPLE; it is dealt into SALTS shares.
 SAMPLE, HOT, HOT_KEYS, SALTS = 32, 8, 20_000, 32
 _ANCHORS = "key bigint, salt int, id bigint, at bigint"
-_SEEDS = K.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _LOW = np.uint64((1 << 20) - 1)
 PASSAGE = "array<struct<start:int,end:int,partner_start:int,partner_end:int,similarity:double>>"
@@ -65,24 +66,28 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - size)], v[width - size :]) if width > size else v
 
 
-def compact_windows(v: np.ndarray, first: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of the Cartesian tree nodes that hold a window of ``width`` values.
-
-    ``first`` has the first value of each text and the total.  A node at least that wide
-    is the minimum of some sliding window, and so are its ancestors, which bound it.
-    """
-    none = (np.zeros(0, np.int64),) * 3
-    if len(v) < width:
-        return none
+def minima(v: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the least value of every window of ``width`` values of one text, values as compared, text of each)."""
     of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.arange(len(v), dtype=np.uint64)
     local = at - first[of].astype(np.uint64)
     packed = v & ~_LOW | local & _LOW  # equal hashes: the leftmost is least
+    if len(v) < width:
+        return np.zeros(0, np.int64), packed, of
     least = sliding_min(packed, width)
     i = np.flatnonzero(of[: len(least)] == of[width - 1 :])
-    if not len(i):
-        return none
-    c = np.unique(i + ((least[i] - local[i]) & _LOW).astype(np.int64))
+    return np.unique(i + ((least[i] - local[i]) & _LOW).astype(np.int64)), packed, of
+
+
+def compact_windows(v: np.ndarray, first: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of the Cartesian tree nodes that hold a window of ``width`` values.
+
+    ``first`` has the first value of each text and the total.  A node at least that wide
+    is the minimum of some sliding window, and so are its ancestors, which bound it.
+    """
+    c, packed, of = minima(v, first, width)
+    if not len(c):
+        return c, c, c
     doc, values = of[c], packed[c].tolist()
     l, r = first[doc].copy(), first[doc + 1] - 1
     places, owners = c.tolist(), doc.tolist()
@@ -99,7 +104,7 @@ def compact_windows(v: np.ndarray, first: np.ndarray, width: int = WINDOW) -> tu
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """(key, salt, id, at): ``at`` is the word where the context begins, times 4, plus the hash function.
+    """(key, salt, id, at): ``at`` is the word where a gram of CONTEXT words begins that has the least hash of a window.
 
     Keys in ``hot`` are dealt into SALTS shares by id, all others are in share 0.
     """
@@ -109,27 +114,14 @@ def _anchors(batches: Iterator[pa.RecordBatch], hot: np.ndarray | None = None) -
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for i, j in K.blocks(off):
             _, _, h, first = K.doc_words(data, off, i, j)
-            keys, owners, places = [], [], []
-            # shingles of one text: those that do not run into the next
             of_word = np.repeat(np.arange(j - i), np.diff(first))
-            g = K.rolling(h, SHINGLE)
-            whole = of_word[: len(g)] == of_word[SHINGLE - 1 :] if len(g) else np.zeros(0, bool)
-            word_at = np.flatnonzero(whole)
-            g = g[whole]
-            of = of_word[word_at] if len(word_at) else np.zeros(0, np.int64)
-            sfirst = np.searchsorted(of, np.arange(j - i + 1))
-            ctx = K.rolling(h, CONTEXT)
-            for k in range(HASHES):
-                l, c, r = compact_windows(K.mix(g ^ _SEEDS[k]), sfirst)
-                begin, end = word_at[l] if len(l) else l, (word_at[r] + SHINGLE if len(r) else r)
-                at = word_at[c] if len(c) else c
-                for a in (at, at + SHINGLE - CONTEXT):
-                    ok = (a >= begin) & (a + CONTEXT <= end)
-                    keys.append(ctx[a[ok]])
-                    owners.append(of[c[ok]])
-                    places.append((a[ok] - first[of[c[ok]]]) * 4 + k)
-            key, own, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
-            key, own = key.view(np.int64), ids[i:j][own].astype(np.int64)
+            g = K.rolling(h, CONTEXT)
+            # grams of one text: those that do not run into the next
+            word_at = np.flatnonzero(of_word[: len(g)] == of_word[CONTEXT - 1 :]) if len(g) else np.zeros(0, np.int64)
+            of = of_word[word_at]
+            c = minima(g[word_at], np.searchsorted(of, np.arange(j - i + 1)), SPREAD)[0]
+            at = word_at[c]
+            key, own, place = g[at].view(np.int64), ids[i:j][of[c]].astype(np.int64), at - first[of[c]]
             salt = np.zeros(len(key), np.int32)
             if hot is not None and len(hot):
                 found = np.isin(key, hot)
@@ -274,7 +266,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for places, a, b in zip(batch.column(2).to_pylist(), K.texts(batch.column(3)), K.texts(batch.column(4)), strict=True):
             runs = similar_runs(_shingles(a), _shingles(b))
             found.append([dict(zip(("start", "end", "partner_start", "partner_end", "similarity"), r, strict=True)) for r in runs])
-            missed.append([p for p in places if not any(s <= p // 4 and p // 4 + CONTEXT <= e for s, e, *_ in runs)])
+            missed.append([p for p in places if not any(s <= p and p + CONTEXT <= e for s, e, *_ in runs)])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind), pa.array(missed, pa.list_(pa.int64()))], ["id", "partner", "passages", "missed"])
 
 
@@ -285,10 +277,10 @@ def _passage_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             data = _LOWER[np.frombuffer(text, np.uint8)]
             h = K.all_words(data, 0, len(data))[2]
             full = K.rolling(h, MIN_WORDS)
-            a = np.unique(np.array(places, np.int64) // 4)
+            a = np.unique(np.array(places, np.int64))
             at = np.unique((a[:, None] - np.arange(MIN_WORDS - CONTEXT + 1)[None, :]).ravel())
             at = at[(at >= 0) & (at < len(full))]
-            yield pa.RecordBatch.from_arrays([pa.array(full[at].view(np.int64)), pa.array(np.zeros(len(at), np.int32)), pa.array(np.full(len(at), own, np.int64)), pa.array(at * 4)], ["key", "salt", "id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(full[at].view(np.int64)), pa.array(np.zeros(len(at), np.int32)), pa.array(np.full(len(at), own, np.int64)), pa.array(at)], ["key", "salt", "id", "at"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -305,12 +297,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
     hot = hot_keys(rows)
     star = _star(rows.mapInArrow(lambda batches: _anchors(batches, hot), _ANCHORS), salted=len(hot) > 0)
-    pairs = star.groupBy("id", "partner").agg(F.collect_set("at").alias("places"), F.count_distinct(F.expr("at % 4")).alias("hashes"))
+    pairs = star.groupBy("id", "partner").agg(F.collect_set("at").alias("places"))
     pairs, star = cut(pairs), None
     release(docs.sparkSession)
-    enough = F.col("hashes") >= ENOUGH
-    first = cut(_verified(pairs.where(enough).drop("hashes"), rows))
-    left = first.select("id", F.col("missed").alias("places")).unionByName(pairs.where(~enough).select("id", "places"))
+    first = cut(_verified(pairs, rows))
+    left = first.select("id", F.col("missed").alias("places"))
     release(docs.sparkSession)
     left = cut(left.where(F.size("places") > 0).select("id", F.explode("places").alias("p")).groupBy("id").agg(F.collect_set("p").alias("places")))
     out = first

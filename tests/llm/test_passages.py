@@ -36,3 +36,42 @@ def test_every_window_of_a_passage_that_recurs_is_covered():
         for k in range(len(one) - 49):
             if tuple(one[k : k + 50]) in held:
                 assert any(s <= k and k + 50 <= e for s, e, *_ in runs)
+
+
+def changed(rng, p, at):
+    q = list(p)
+    for k, how in at:
+        q[k] = {"other": [rng.choice("xyz")], "more": [q[k][0], rng.choice("xyz")], "less": []}[how]
+    return [w for x in q for w in (x if isinstance(x, list) else [x])]
+
+
+def near_pairs(rng, n):
+    """(text, text) with a passage of 50 words or more that has one or several words changed, anywhere."""
+    for _ in range(n):
+        size = rng.choice([50, 51, 53, 60, 70, 100, 150])
+        p = words(rng, size)
+        one = changed(rng, p, [(size // 2 if rng.random() < 0.3 else k, rng.choice(["other", "more", "less"])) for k in rng.sample(range(size), rng.randint(1, max(1, size // 45)))])
+        yield words(rng, rng.randint(0, 40)) + p + words(rng, rng.randint(0, 40)), words(rng, rng.randint(0, 40)) + one + words(rng, rng.randint(0, 40))
+
+
+def brute(one, two):
+    """Whether some parts of 50 words or more, both ends in common, have a similarity of 0.8."""
+    a, b = shingles(one), shingles(two)
+    spots = [(i, int(j)) for i in range(len(a)) for j in np.flatnonzero(b == a[i])]
+    for i, j in spots:
+        for k, m in spots:
+            if k - i >= 45 and m >= j:
+                s, t = set(a[i : k + 1].tolist()), set(b[j : m + 1].tolist())
+                if len(s & t) >= 0.8 * len(s | t):
+                    return True
+    return False
+
+
+def test_all_near_copies_are_found(spark):
+    rng = random.Random(11)
+    pairs = list(near_pairs(rng, 150))
+    frame = spark.createDataFrame([(2 * k + n, " ".join(p[n])) for k, p in enumerate(pairs) for n in (0, 1)], "doc_id long, text string")
+    got = {(r.partner, r.id) for r in passages.repeated_passages(frame).collect()}
+    want = {(2 * k, 2 * k + 1) for k, (one, two) in enumerate(pairs) if brute(two, one)}
+    assert len(want) > 50
+    assert got == want
