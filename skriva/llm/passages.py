@@ -10,14 +10,17 @@ needed: there is no join of intervals, whole texts are compared once a key meets
 
 Rows of one key form a star around the one with the least id (rows
 stream by in key order, no group is collected); keys that a sample shows to be hot are
-dealt into shares, whose first rows form a star of their own.  Stars are gathered by pair
+dealt into shares, which learn the least id of all.  Stars are gathered by pair
 of documents, both texts are fetched and the passages verified: maximal runs of common
 shingles on one diagonal, small gaps allowed, whose shingle sets have a Jaccard similarity
 of SIMILARITY or more.
 
-A place whose star did not verify (a short phrase that many texts share) is filed once
-more, exactly: under the hashes of all windows of MIN_WORDS words around it.  A star of
-such rows shares a whole passage, so nothing is left over.
+What members share with each other and not with the head of their star is found in a
+second round.  At a key where the head lacks some window of MIN_WORDS words of two
+members or more, these and the head are filed once more: under every such window around
+the key, so that a star shares a whole passage and no exact one is left over; and, where a
+member shares no passage with the head, under the windows of RUN words around the key,
+each with the min-hash of the words on its left and on its right, for near copies.
 
 Result: (id, partner, passages), ``partner`` being a smaller id that holds the same
 passages, with word ranges on both sides.  Copies are linked to one representative and
@@ -49,8 +52,11 @@ SEED = (WINDOW - SHINGLE + 1) // 2
 RUN = SEED + SHINGLE - 1
 CONTEXT = 16
 SPREAD = RUN - CONTEXT + 1
+#: Shingles beside a window of RUN words whose min-hash tells near copies from others that share the window.
+SIDE = 16
 #: A key is hot with HOT rows in a sample of one document in SAMPLE; it is dealt into SALTS shares.
 SAMPLE, HOT, HOT_KEYS, SALTS = 32, 8, 20_000, 32
+HEAVY = 1000
 _ANCHORS = "key bigint, salt int, id bigint, at bigint"
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _LOW = np.uint64((1 << 20) - 1)
@@ -130,9 +136,9 @@ def _anchors(batches: Iterator[pa.RecordBatch], hot: np.ndarray | None = None) -
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of key, salt, id, at, each against the first of its key and salt.
+    """Rows in order of key, salt, id, at, each against the first of its key and salt: (id, partner, at, key).
 
-    A row gives (id, partner, at); the first row of a salted share gives (id, at, key) instead.
+    In share 0 only rows of other ids are given, and without the key.
     """
     last = None
     for batch in batches:
@@ -147,25 +153,18 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             partner[: int(border[0]) + 1 if len(border) else len(key)] = last[2]
             start[0] = False
         last = key[-1], salt[-1], partner[-1]
-        heads = np.flatnonzero(start & (salt > 0))
-        found = np.flatnonzero(ids != partner)
-        rows = np.concatenate((found, heads))
-        one = np.arange(len(rows)) < len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(partner[rows], mask=~one), pa.array(at[rows]), pa.array(key[rows], mask=one)], ["id", "partner", "at", "key"])
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
-    ordered = rows.select("key", "salt", "id", "at").repartition("key", "salt").sortWithinPartitions("key", "salt", "id", "at")
-    return ordered.mapInArrow(_stars, "id bigint, partner bigint, at bigint, key bigint")
+        rows = np.flatnonzero((ids != partner) | (salt > 0))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(partner[rows]), pa.array(at[rows]), pa.array(key[rows], mask=salt[rows] == 0)], ["id", "partner", "at", "key"])
 
 
 def _star(rows: DataFrame, salted: bool = False) -> DataFrame:
-    """(id, partner, at): shares of a hot key have a star each, and a second star joins their first rows."""
-    out = _dealt(rows)
+    """(id, partner, at), the partner being the least id of the key, also where a hot key is dealt into shares."""
+    ordered = rows.select("key", "salt", "id", "at").repartition("key", "salt").sortWithinPartitions("key", "salt", "id", "at")
+    out = ordered.mapInArrow(_stars, "id bigint, partner bigint, at bigint, key bigint")
     if salted:
         out = cut(out)
-        firsts = out.where("partner is null").withColumn("salt", F.lit(0))
-        out = out.where("partner is not null").unionByName(_dealt(firsts))
+        heads = out.where("key is not null").groupBy("key").agg(F.min("partner").alias("head"))  # HOT_KEYS at most
+        out = out.join(F.broadcast(heads.withColumnRenamed("key", "k")), F.col("key") == F.col("k"), "left").withColumn("partner", F.coalesce("head", "partner")).where("id <> partner")
     return out.select("id", "partner", "at")
 
 
@@ -176,9 +175,13 @@ def hot_keys(docs: DataFrame) -> np.ndarray:
     return np.array(sorted(r.key for r in got), np.int64)
 
 
-def _shingles(text: bytes) -> np.ndarray:
+def _words(text: bytes) -> np.ndarray:
     data = _LOWER[np.frombuffer(text, np.uint8)]
-    return K.rolling(K.all_words(data, 0, len(data))[2], SHINGLE)
+    return K.all_words(data, 0, len(data))[2]
+
+
+def _shingles(text: bytes) -> np.ndarray:
+    return K.rolling(_words(text), SHINGLE)
 
 
 def _extent(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
@@ -199,7 +202,11 @@ def _starts(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
     order = np.argsort(two, kind="stable")
     s = two[order]
     lo, hi = np.searchsorted(s, one), np.searchsorted(s, one, "right")
-    for i in np.flatnonzero(hi > lo).tolist():
+    inner = np.zeros(len(one), bool)  # stands in one place, and goes on there from the value before
+    if len(s):
+        j = order[np.minimum(lo, len(s) - 1)]
+        inner[1:] = (hi[1:] - lo[1:] == 1) & (j[1:] > 0) & (a[: len(one) - 1] == b[j[1:] - 1])
+    for i in np.flatnonzero((hi > lo) & ~inner).tolist():
         j = order[lo[i] : hi[i]]
         if i:
             j = j[(j == 0) | (b[j - 1] != a[i - 1])]
@@ -227,13 +234,18 @@ def similar_runs(a: np.ndarray, b: np.ndarray, width: int = WINDOW, similarity:
     Common runs are followed on their own diagonal, so a passage is found wherever else its
     parts stand in b.  Of a chain of runs every longest part that is similar enough counts.
     """
+    if len(a) >= width and _extent(a, b, 0, 0) == len(a):
+        return [(0, len(a) + SHINGLE - 1, 0, len(a) + SHINGLE - 1, 1.0)]
     runs: list[tuple[int, int, int, int, float]] = []
     seen: set[tuple[int, int]] = set()
     back_a, back_b = a[::-1], b[::-1]
+    meet = lambda u, v: (u[:GAP, None] == v[None, :GAP]).any()
     for i, j in _starts(a, b):
         if (i, j) in seen:
             continue
         n = _extent(a, b, i, j)
+        if n < width and not meet(a[i + n :], b[j + n :]) and not meet(back_a[len(a) - i :], back_b[len(b) - j :]):
+            continue  # alone and too short
         before = [(len(a) - x - m, len(b) - y - m, m) for x, y, m in _onward(back_a, back_b, len(a) - i, len(b) - j)]
         chain = [*before[::-1], (i, j, n), *_onward(a, b, i + n, j + n)]
         seen.update((x, y) for x, y, _ in chain)
@@ -245,51 +257,90 @@ def similar_runs(a: np.ndarray, b: np.ndarray, width: int = WINDOW, similarity:
                 if k + e <= done:
                     break
                 p, q, u, v = int(x[k]), int(x[k] + one[e]), int(y[k]), int(y[k] + two[e])
-                p_set, u_set = np.unique(a[p:q]), np.unique(b[u:v])
-                both = len(np.intersect1d(p_set, u_set, assume_unique=True))
-                s = both / (len(p_set) + len(u_set) - both)
+                s = 1.0
+                if e:
+                    p_set, u_set = np.unique(a[p:q]), np.unique(b[u:v])
+                    both = len(np.intersect1d(p_set, u_set, assume_unique=True))
+                    s = both / (len(p_set) + len(u_set) - both)
                 if s >= similarity:
+                    if q - p == len(a):
+                        return [(p, q + SHINGLE - 1, u, v + SHINGLE - 1, s)]
                     runs.append((p, q + SHINGLE - 1, u, v + SHINGLE - 1, s))
                     done = k + e
                     break
+    # as few as hold every window of every passage
+    runs.sort(key=lambda r: (r[0], -r[1], -r[4]))
     out: list[tuple[int, int, int, int, float]] = []
-    for r in sorted(runs, key=lambda r: (r[0], -r[1], -r[4])):  # none within another
-        if not out or r[1] > out[-1][1]:
-            out.append(r)
+    k = 0
+    while k < len(runs):
+        best = runs[k]
+        k += 1
+        while out and k < len(runs) and runs[k][0] <= out[-1][1] - (width + SHINGLE - 1) + 1:
+            best = max(best, runs[k], key=lambda r: r[1])
+            k += 1
+        if not out or best[1] > out[-1][1]:
+            out.append(best)
     return out
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, partner, passages, grams) of (id, partner, places, a, b).
+
+    ``grams`` has the keys of the places at which the partner does not hold every window of
+    MIN_WORDS words around it word for word, and whether they lie in no passage.
+    """
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("partner_start", pa.int32()), ("partner_end", pa.int32()), ("similarity", pa.float64())]))
+    gram = pa.list_(pa.struct([("key", pa.int64()), ("missed", pa.bool_())]))
     for batch in batches:
-        found, missed = [], []
+        found, grams = [], []
         for places, a, b in zip(batch.column(2).to_pylist(), K.texts(batch.column(3)), K.texts(batch.column(4)), strict=True):
-            runs = similar_runs(_shingles(a), _shingles(b))
+            one, two = _words(a), _words(b)
+            runs = similar_runs(K.rolling(one, SHINGLE), K.rolling(two, SHINGLE))
             found.append([dict(zip(("start", "end", "partner_start", "partner_end", "similarity"), r, strict=True)) for r in runs])
-            missed.append([p for p in places if not any(s <= p and p + CONTEXT <= e for s, e, *_ in runs)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind), pa.array(missed, pa.list_(pa.int64()))], ["id", "partner", "passages", "missed"])
+            places = np.array(places, np.int64)
+            apart = np.concatenate(([0], np.cumsum(~np.isin(K.rolling(one, MIN_WORDS), K.rolling(two, MIN_WORDS)))))
+            top = len(apart) - 1
+            places = places[apart[np.minimum(places + 1, top)] > apart[np.minimum(np.maximum(places + CONTEXT - MIN_WORDS, 0), top)]]
+            keys = K.rolling(one, CONTEXT)[places].view(np.int64).tolist()
+            grams.append([{"key": k, "missed": not any(s <= p and p + CONTEXT <= e for s, e, *_ in runs)} for k, p in zip(keys, places.tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind), pa.array(grams, gram)], ["id", "partner", "passages", "grams"])
+
+
+def _around(h: np.ndarray, grams: list[int], width: int) -> np.ndarray:
+    """Where windows of ``width`` words begin that hold one of the grams."""
+    at = np.flatnonzero(np.isin(K.rolling(h, CONTEXT).view(np.int64), np.array(grams, np.int64)))
+    at = np.unique((at[:, None] - np.arange(width - CONTEXT + 1)[None, :]).ravel())
+    return at[(at >= 0) & (at + width <= len(h))]
 
 
-def _passage_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, salt, id, at): every window of MIN_WORDS words that holds one of the given contexts."""
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, salt, id, at) of (id, text, grams, near): every window of MIN_WORDS words around a gram; for those in ``near`` also
+    every window of RUN words, with the min-hash of the words on either side."""
     for batch in batches:
-        for own, text, places in zip(batch.column(0).to_pylist(), K.texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            data = _LOWER[np.frombuffer(text, np.uint8)]
-            h = K.all_words(data, 0, len(data))[2]
-            full = K.rolling(h, MIN_WORDS)
-            a = np.unique(np.array(places, np.int64))
-            at = np.unique((a[:, None] - np.arange(MIN_WORDS - CONTEXT + 1)[None, :]).ravel())
-            at = at[(at >= 0) & (at < len(full))]
-            yield pa.RecordBatch.from_arrays([pa.array(full[at].view(np.int64)), pa.array(np.zeros(len(at), np.int32)), pa.array(np.full(len(at), own, np.int64)), pa.array(at)], ["key", "salt", "id", "at"])
+        for own, text, grams, near in zip(batch.column(0).to_pylist(), K.texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            h = _words(text)
+            keys = [K.rolling(h, MIN_WORDS)[_around(h, grams, MIN_WORDS)]]
+            if near and len(h) >= MIN_WORDS:
+                run, side, at = K.rolling(h, RUN), sliding_min(K.mix(K.rolling(h, SHINGLE)), SIDE), _around(h, near, RUN)
+                left, right = at[at >= SIDE + SHINGLE - 1], at[at + RUN < len(side)]
+                keys += [K.mix(run[left] ^ K.mix(side[left - SIDE - SHINGLE + 1])), K.mix(run[right] ^ side[right + RUN])]
+            key = np.unique(np.concatenate(keys)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(key), np.int32)), pa.array(np.full(len(key), own, np.int64)), pa.array(np.zeros(len(key), np.int64))], ["key", "salt", "id", "at"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (id, partner, places) with the passages that their texts really share."""
+    """pairs (id, partner, places), already cut, with the passages that their texts really share.
+
+    A partner of very many is dealt into shares.
+    """
+    heavy = F.broadcast(pairs.groupBy("partner").count().where(F.col("count") >= HEAVY).select(F.col("partner").alias("big")))
     one = docs.select(F.col("id").alias("i"), F.col("t").alias("a"))
-    two = docs.select(F.col("id").alias("i"), F.col("t").alias("b"))
-    held = pairs.join(one, pairs.id == one.i).select("id", "partner", "places", "a")
-    both = held.join(two, held.partner == two.i).select("id", "partner", "places", "a", "b")
-    return both.mapInArrow(_verify, f"id bigint, partner bigint, passages {PASSAGE}, missed array<bigint>")
+    two = docs.select(F.col("id").alias("i"), F.col("t").alias("b")).join(heavy, F.col("i") == F.col("big"), "left")
+    two = two.select("i", "b", F.explode(F.when(F.col("big").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("share"))
+    dealt = pairs.join(heavy, pairs.partner == F.col("big"), "left").withColumn("of", F.when(F.col("big").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")))
+    held = dealt.join(one, F.col("id") == F.col("i")).select("id", "partner", "places", "of", "a")
+    both = held.join(two, (held.partner == two.i) & (held.of == two.share)).select("id", "partner", "places", "a", "b")
+    return both.mapInArrow(_verify, f"id bigint, partner bigint, passages {PASSAGE}, grams array<struct<key:bigint,missed:boolean>>")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,14 +352,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs, star = cut(pairs), None
     release(docs.sparkSession)
     first = cut(_verified(pairs, rows))
-    left = first.select("id", F.col("missed").alias("places"))
     release(docs.sparkSession)
-    left = cut(left.where(F.size("places") > 0).select("id", F.explode("places").alias("p")).groupBy("id").agg(F.collect_set("p").alias("places")))
-    out = first
-    if not left.isEmpty():
-        again = rows.join(left.select(F.col("id").alias("i"), "places"), F.col("id") == F.col("i")).select("id", "t", "places")
-        exact = _star(again.mapInArrow(_passage_keys, _ANCHORS))
-        out = first.unionByName(_verified(exact.groupBy("id", "partner").agg(F.collect_set("at").alias("places")), rows))
+    # keys at which two documents or more have something that the head has not
+    grams = first.select("id", "partner", F.explode("grams").alias("g")).select("id", "partner", "g.key", "g.missed")
+    apart = grams.groupBy("key").agg(F.max("missed").alias("near"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "near")
+    members = grams.drop("missed").join(apart, "key").select(F.explode(F.array("id", "partner")).alias("i"), "key", F.when(F.col("near"), F.col("key")).alias("near"))
+    members = members.groupBy("i").agg(F.collect_set("key").alias("keys"), F.collect_set("near").alias("near"))
+    filed = rows.join(members, F.col("id") == F.col("i")).select("id", "t", "keys", "near").mapInArrow(_again, _ANCHORS)
+    again = _star(filed).select("id", "partner").distinct().join(pairs.select("id", "partner"), ["id", "partner"], "left_anti")
+    again = cut(again.withColumn("places", F.array().cast("array<bigint>")))
+    release(docs.sparkSession)
+    out = first.unionByName(_verified(again, rows))
     return out.where(F.size("passages") > 0).select("id", "partner", "passages")
 
 

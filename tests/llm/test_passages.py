@@ -75,3 +75,35 @@ def test_all_near_copies_are_found(spark):
     want = {(2 * k, 2 * k + 1) for k, (one, two) in enumerate(pairs) if brute(two, one)}
     assert len(want) > 50
     assert got == want
+
+
+def found(spark, docs):
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    return {(r.id, r.partner): r.passages for r in passages.repeated_passages(frame).collect()}
+
+
+def test_what_the_head_holds_in_part_is_found_whole(spark):
+    rng = random.Random(4)
+    docs, want = {}, set()
+    for k in range(0, 300, 3):  # k and k+1 share 100 words, k+1 and k+2 share 50 of which 47 stand in k
+        p, more = words(rng, 100), words(rng, 3)
+        docs[k] = words(rng, 20) + p + words(rng, 20)
+        docs[k + 1] = words(rng, 20) + p + more + words(rng, 20)
+        docs[k + 2] = words(rng, 20) + p[53:] + more + words(rng, 20)
+        want |= {(k + 1, k), (k + 2, k + 1)}
+    assert set(found(spark, docs)) == want
+
+
+def test_near_copies_under_a_phrase_of_others_are_found(spark):
+    rng = random.Random(6)
+    phrase = words(rng, 30)
+    docs = {i: words(rng, 40) + phrase + words(rng, 40) for i in range(300)}
+    want = set()
+    for k in range(100, 300, 4):  # 30 words of the phrase, a changed one, 20 words that two documents share
+        tail = words(rng, 20)
+        for i in (k, k + 1):
+            docs[i] = words(rng, 40) + phrase + words(rng, 1) + tail + words(rng, 20)
+        want.add((k + 1, k))
+    got = set(found(spark, docs))
+    assert got <= want
+    assert len(got) >= 0.95 * len(want)
