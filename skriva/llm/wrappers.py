@@ -9,12 +9,13 @@ unions arise.  Streams are first reduced to distinct ones with counts and folded
 shares of a host before its shares meet, so a large host is no large group.
 
 Along with the tokens a wrapper records how much paragraph text each container held on
-the host's pages; where pages have no <main> or <article>, the container that dominates
-is the host's content region.
+the host's pages; where pages have no <main> or <article>, the outermost container around
+the one that dominates is the host's content region, so that blocks beside it stay.
 
 Extraction.  A page is walked once; text of the content region is kept, menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left
-out by element, role and class words.  Character references are decoded, white space in
+out by element, role and class words (headings and paragraphs of the region only by element
+and role).  Character references are decoded, white space in
 a block becomes one space, and blocks are joined by one newline.
 
 Cases: a null or empty html gives an empty text; a page without host is learnt under the
@@ -56,6 +57,8 @@ OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 OUT_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Inside the content region these go by element and role only.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 OUT_ARTICLES = frozenset("ad advert advertisement comment comments reply sponsored".split())
 
 
@@ -234,10 +237,9 @@ class _Page:
             block.clear()
             if text and not out:
                 (self.inside if within else self.rest).append(text)
-                for _, _, c in reversed(stack):
-                    if c and c != "*":
-                        self.mass[c] += len(text)
-                        break
+                held = [c for _, _, c in stack if c and c != "*"]
+                if held:
+                    self.mass[f"{held[-1]} {held[0]}"] += len(text)
 
         def pop(n: int) -> None:
             nonlocal out, within
@@ -273,7 +275,7 @@ class _Page:
             elif name in ("article", "main"):
                 left = not words.isdisjoint(OUT_ARTICLES)
             else:
-                left = name in OUT_TAGS or role in OUT_ROLES or name == "header" and not within or not words.isdisjoint(OUT_WORDS)
+                left = name in OUT_TAGS or role in OUT_ROLES or name == "header" and not within or not words.isdisjoint(OUT_WORDS) and not (within and name in PROSE)
             mark = ""
             if name in ("div", "section", "td", "center"):
                 mark = f"{name}.{first}"
@@ -329,7 +331,7 @@ def learn(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     streams = counted.where("kind = 's'").withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
     parts = streams.groupBy("host", "salt").applyInPandas(lambda pdf: share(pdf), "host string, value string, n bigint")
     whole = parts.groupBy("host").applyInPandas(lambda pdf: share(pdf), "host string, value string, n bigint")
-    region = counted.where("kind = 'c'").groupBy("host").agg(F.max_by("value", F.struct("n", "value")).alias("region"))
+    region = counted.where("kind = 'c'").groupBy("host").agg(F.substring_index(F.max_by("value", F.struct("n", "value")), " ", -1).alias("region"))
     return cut(whole.withColumnRenamed("value", "wrapper").withColumnRenamed("n", "pages").join(region, "host", "left").select("host", "pages", "wrapper", F.coalesce("region", F.lit("")).alias("region")))
 
 
