@@ -4,15 +4,18 @@ Features are the hashed byte n-grams (2 to 4) of the text, A-Z lower-cased and e
 of other ASCII than letters one gap.  A text is the average of its n-grams' embeddings;
 a linear layer and a softmax give the languages.  Both layers are trained by stochastic
 gradient descent in numpy on the driver, on a bounded sample of labelled texts; a part
-of the sample sets the softmax temperature, so scores are calibrated probabilities.
+of the sample sets the softmax temperature, so scores are calibrated probabilities, and
+the rejection threshold: the probability that all but REJECT of its rightly named texts reach.
 Because the model is linear after averaging, embedding times layer is one table of
 BUCKETS x languages (under a megabyte), which is sent to the executors, and whole texts are
 scored there in numpy, block by block.
 
-Cases: a null text or one without any letter is `und` with score 0; a text whose best
-probability is under ``reject_below`` is `und` with that probability (calibrated rejection,
-off by default).  With no labelled text at all, every text is `und`.  Repeated rows are
-scored each by itself, empty tables give an empty result, other columns are not read.
+Cases: a null text or one without any letter is `und` with score 0 and rejected; a text whose
+best probability is under the threshold keeps its best language and is marked ``rejected``.
+With no labelled text at all, every text is `und` and rejected.  Repeated rows are scored
+each by itself, empty tables give an empty result, other columns are not read.  Long texts are
+walked whole in blocks whose n-grams join; labelled texts over SAMPLE_CHARS characters are
+only never learnt from.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from skriva.llm import kernels as K
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (2, 3, 4)
 #: The training sample: at most about so many labelled texts, each of at most so many characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
+#: Share of texts of the learnt languages that the rejection threshold gives up.
+REJECT = 0.01
 _NORMAL = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 
 
@@ -61,6 +66,7 @@ class Model:
     langs: list[str]
     table: np.ndarray  # BUCKETS x languages: embedding times layer, over the temperature
     bias: np.ndarray
+    reject: float = 0.0  # a best probability under it is rejected
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -101,7 +107,9 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, rate: float =
         p = _softmax(z / t)
         losses.append(-np.log(np.maximum(p[np.arange(len(held)), y[held]], 1e-9)).mean())
     t = float(temperatures[int(np.argmin(losses))])
-    return Model(langs, (table / t).astype(np.float32), (bias / t).astype(np.float32))
+    p = _softmax(z / t)
+    best = p.max(1)[p.argmax(1) == y[held]]
+    return Model(langs, (table / t).astype(np.float32), (bias / t).astype(np.float32), float(np.quantile(best, REJECT)) if len(best) else 0.0)
 
 
 def scores(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -109,13 +117,18 @@ def scores(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     n, sums, counts = len(off) - 1, np.zeros((len(off) - 1, len(model.langs))), np.zeros(len(off) - 1)
     for i, j in K.blocks(off):
         for d in range(i, j):
-            for lo in range(int(off[d]), int(off[d + 1]), K.BLOCK):  # blocks of a long text overlap by a gram
-                b = normal(data[max(int(off[d]), lo - max(GRAMS) + 1) : min(int(off[d + 1]), lo + K.BLOCK)])
+            before = np.zeros(0, np.uint8)  # the end of the block before, for n-grams that run over the border
+            for lo in range(int(off[d]), int(off[d + 1]), K.BLOCK):
+                b = normal(data[lo : min(int(off[d + 1]), lo + K.BLOCK)])
+                if len(before) and len(b) and before[-1] == 32 == b[0]:
+                    b = b[1:]
+                b = np.concatenate((before, b))
                 for g in GRAMS:
-                    ids = _gram_ids(b, g)
+                    ids = _gram_ids(b[max(0, len(before) - g + 1) :], g)
                     counts[d] += len(ids)
                     hist = np.bincount(ids, minlength=BUCKETS) if len(ids) > BUCKETS else None
                     sums[d] += hist @ model.table if hist is not None else model.table[ids].sum(0)
+                before = b[-(max(GRAMS) - 1) :]
     return _softmax(sums / np.maximum(counts, 1)[:, None] + model.bias)
 
 
@@ -132,8 +145,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(K.texts(got.column(0).combine_chunks()), got.column(1).to_pylist())
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject_below: float = 0.0) -> DataFrame:
-    """One row a text: id, lang_pred, score."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a text: id, lang_pred, score, rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,13 +154,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             column = batch.column(1)
             letters = np.array([has_letter(t) for t in K.texts(column)], bool)
-            lang, score = np.full(len(column), "und", object), np.zeros(len(column))
+            lang, score, rejected = np.full(len(column), "und", object), np.zeros(len(column)), np.ones(len(column), bool)
             if m.langs and len(column):
                 p = scores(m, *K.utf8(column))
                 best = p.argmax(1)
                 score = np.where(letters, p[np.arange(len(best)), best], 0.0)
-                lang = np.where(letters & (score >= reject_below), np.array(m.langs, object)[best], "und")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
+                lang, rejected = np.where(letters, np.array(m.langs, object)[best], "und"), ~letters | (score < m.reject)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], ["id", "lang_pred", "score", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)

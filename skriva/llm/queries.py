@@ -39,8 +39,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skriva.llm import toxicity
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    found = toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out())))
-    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    found = toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out())), evidence=3)
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs.where(~held_out())))
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +88,12 @@ def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skriva.llm import resample
+    from skriva.llm.support import cut
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = resample.fit(docs, labels)
-    least = resample.threshold(docs, model)
-    return resample.scored(docs, model).select("doc_id", "log_ratio", "log_odds", "key", (F.col("key") >= least).alias("kept"))
+    keys = cut(resample.scored(docs, model))
+    return keys.select("doc_id", "log_weight", "key", (F.col("key") >= resample.threshold(keys, model)).alias("kept"))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repetition, op4_toxicity, op5_bpe, op6_passages, op7_langid, op8_simhash, op9_wrappers, op10_resample)}

@@ -1,25 +1,28 @@
 """Quality classifier by importance resampling.
 
 Texts are split into words and runs of punctuation; their unigrams and bigrams are hashed
-into BUCKETS.  Two bag models of such n-grams are estimated: the raw one from every text
-of the corpus, the target one from a bounded sample of texts labelled good.  The log
-ratio target / raw, averaged over a text's n-grams, is its importance weight; a logistic
-curve fitted on the labelled sample turns it into the log odds of being good.
-
-Documents are then drawn without replacement by Gumbel top-k: log odds plus Gumbel noise
-(scaled by ``temperature``), the k greatest stay.  k is given, or the number of documents
-that are more likely good than not.  The noise is a hash of id and seed, so a
-task that runs again decides alike.  The k-th key is found by counting keys in ever finer
-bins, not by sorting.
-
-Cases: a null or empty text has no n-grams and gets the log odds of a ratio of zero.
+into BUCKETS.  Two generative bag models of such n-grams are estimated: the raw one from every
+text of the corpus, the target one from a bounded sample of texts labelled good.  A text's
+log weight is the sum of log target / raw over its n-grams, the log ratio of its likelihoods.
+
+Documents are then drawn without replacement in proportion to their weights by Gumbel top-k:
+log weight plus a standard Gumbel variate, the k greatest stay.  k is given, or the documents
+times a share; the share is that of good ones among the labelled (read from at most SAMPLE_ROWS
+of them) plus SLACK, as a clean document lost costs more than a poor one kept.  The noise is a
+hash of id and seed, so a task that runs again decides alike.  The k-th key is found by counting
+keys in ever finer bins, not by sorting.
+
+Cases: a null or empty text has no n-grams and a log weight of zero.
 Rows with equal id and text have one key, and keys tied with the k-th all stay.  With no
 labelled good text nothing is known and everything stays.  Empty tables give an empty
-result.  ``draw`` carries all columns as they are.
+result.  ``draw`` carries all columns as they are.  Long texts are weighed whole, in blocks;
+labelled texts over SAMPLE_CHARS characters are weighed and counted like all others and only
+never taken into the target model.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +37,9 @@ from skriva.llm.support import cut
 
 BUCKETS = 1 << 15
 SAMPLE_ROWS, SAMPLE_CHARS = 8000, 20_000
-TEMPERATURE, SEED = 0.25, 11
+SLACK, SEED = 0.01, 11
+#: N-grams of the raw model that the target model starts from.
+PRIOR = 200_000
 _CLASS = np.array([0 if K.SPACE[c] else 1 if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 2 for c in range(256)], np.uint8)
 
 
@@ -77,19 +82,14 @@ def pieces(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.nda
 @dataclass
 class Model:
     ratio: np.ndarray  # log target - log raw, by bucket
-    slope: float
-    shift: float
+    share: float = 1.0  # of documents to draw
 
     def weights(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Mean log ratio of each text."""
-        total, n = np.zeros(len(off) - 1), np.zeros(len(off) - 1)
+        """Log weight of each text: the sum of log ratios over its n-grams."""
+        total = np.zeros(len(off) - 1)
         for i, j, b, of in pieces(data, off):
             total[i:j] += np.bincount(of, weights=self.ratio[b], minlength=j - i)
-            n[i:j] += np.bincount(of, minlength=j - i)
-        return total / np.maximum(n, 1)
-
-    def odds(self, weight: np.ndarray) -> np.ndarray:
-        return self.slope * weight + self.shift
+        return total
 
 
 def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -118,33 +118,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = got.select(F.col(text_col).alias("t"), F.col("y").cast("int").alias("y"), F.xxhash64(F.col(text_col)).alias("h")).toArrow().sort_by([("h", "ascending"), ("y", "ascending")]).combine_chunks()
     y = np.array(got.column("y").to_pylist(), float)
     data, off = K.utf8(got.column("t").combine_chunks() if len(y) else pa.array([], pa.string()))
-    target = np.ones(BUCKETS)
-    learnt = np.arange(len(y)) % 4 > 0
+    target = np.zeros(BUCKETS)
     for i, j, b, of in pieces(data, off):
-        use = ((y[i:j] > 0) & learnt[i:j])[of]
-        target += np.bincount(b[use], minlength=BUCKETS)
+        target += np.bincount(b[(y[i:j] > 0)[of]], minlength=BUCKETS)
     if not (y > 0).any():
         return None
-    # add-one smoothing is worth less in the sample than in the corpus: shrink towards the raw model
-    share = raw / raw.sum()
-    model = Model(np.log((target - 1 + 200_000 * share) / (target.sum() - BUCKETS + 200_000)) - np.log(share), 1.0, 0.0)
-    w = model.weights(data, off)[~learnt]
-    model.slope, model.shift = _logistic(w, y[~learnt] > 0)
-    return model
-
-
-def _logistic(w: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Log odds of being good against the weight, by Newton steps with a small ridge."""
-    scale = w.std() or 1.0
-    x, a, b = w / scale, 1.0, 0.0
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        h = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((p - y) * x).sum() + 0.05 * a, (p - y).sum() + 0.05 * b])
-        m = np.array([[(h * x * x).sum() + 0.05, (h * x).sum()], [(h * x).sum(), h.sum() + 0.05]])
-        step = np.linalg.solve(m, g)
-        a, b = float(a - np.clip(step[0], -2, 2)), float(b - np.clip(step[1], -2, 2))
-    return max(a, 0.0) / scale, b
+    # the sample says little of rare n-grams: shrink the target towards the raw model
+    raw /= raw.sum()
+    return Model(np.log((target + PRIOR * raw) / (target.sum() + PRIOR)) - np.log(raw), min(1.0, float((y > 0).mean()) + SLACK))
 
 
 def gumbel(ids: list, seed: int) -> np.ndarray:
@@ -152,8 +133,8 @@ def gumbel(ids: list, seed: int) -> np.ndarray:
     return -np.log(-np.log((u.astype(np.float64) + 0.5) / 2.0**64))
 
 
-def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", temperature: float = TEMPERATURE, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, ``keep``, log_ratio, log_odds and key (log odds with noise) of every text."""
+def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, ``keep``, log_weight and key (log weight with noise) of every text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     carried = list(dict.fromkeys([id_col, *keep]))
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
@@ -164,11 +145,10 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
         for batch in batches:
             size = batch.num_rows
             w = m.weights(*K.utf8(batch.column(n))) if m and size else np.zeros(size)
-            odds = m.odds(w) if m else np.full(size, 30.0)
-            key = odds + temperature * gumbel(batch.column(0).to_pylist(), seed) if size else odds
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(w), pa.array(odds), pa.array(key)], [*(f"c{k}" for k in range(n)), "log_ratio", "log_odds", "key"])
+            key = w + gumbel(batch.column(0).to_pylist(), seed) if size else w
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(w), pa.array(key)], [*(f"c{k}" for k in range(n)), "log_weight", "key"])
 
-    schema = ", ".join(f"c{k} {types[c]}" for k, c in enumerate(carried)) + ", log_ratio double, log_odds double, key double"
+    schema = ", ".join(f"c{k} {types[c]}" for k, c in enumerate(carried)) + ", log_weight double, key double"
     out = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carried)), F.col(f"`{text_col}`").alias("t")).mapInArrow(run, schema)
     return out.withColumnsRenamed({f"c{k}": c for k, c in enumerate(carried)})
 
@@ -195,17 +175,16 @@ def kth_key(keys: DataFrame, k: int, bins: int = 4096) -> float:
     return float(lo)
 
 
-def threshold(docs: DataFrame, model: Model | None, k: int | None = None, **options) -> float:
-    """Key that a document must reach to be among the k drawn."""
+def threshold(keys: DataFrame, model: Model | None, k: int | None = None) -> float:
+    """Key that a document must reach to be among the k drawn; ``keys`` (a cut result of ``scored``) is read several times."""
     if model is None:
         return float("-inf")
-    keys = cut(scored(docs, model, **options).select("key", "log_odds"))
-    return kth_key(keys, keys.where("log_odds >= 0").count() if k is None else k)
+    return kth_key(keys, math.ceil(model.share * keys.count()) if k is None else k)
 
 
-def draw(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+def draw(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` that are drawn; their texts are weighed again rather than shuffled."""
-    least = threshold(docs, model, k, id_col=id_col, text_col=text_col, temperature=temperature, seed=seed)
+    least = threshold(cut(scored(docs, model, id_col, text_col, seed).select("key")), model, k)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
 
@@ -213,7 +192,7 @@ def draw(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
         m = sent.value
         for batch in batches:
             if m and batch.num_rows:
-                key = m.odds(m.weights(*K.utf8(batch.column(text_at)))) + temperature * gumbel(batch.column(id_at).to_pylist(), seed)
+                key = m.weights(*K.utf8(batch.column(text_at))) + gumbel(batch.column(id_at).to_pylist(), seed)
                 batch = batch.filter(pa.array(key >= least))
             yield batch
 

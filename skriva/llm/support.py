@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where none is configured (tests), a local one is set."""
+    """The folder all executors share.  A local session without one gets a local folder; on a cluster that is an error."""
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context._conf.get("spark.checkpoint.dir")
     if not where:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = getattr(shared_dir, "local", None) or tempfile.mkdtemp(prefix="skriva-")
         shared_dir.local = where
     if context._jsc.sc().getCheckpointDir().isEmpty():

@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 A bounded sample of labelled texts is read (at most about SAMPLE_ROWS rows of at most
-SAMPLE_CHARS characters).  Its vocabulary keeps the words whose share among toxic
-examples departs from chance (|z| of Z or more in at least MIN_TEXTS texts), so that the
-cosine compares what says something about the label and not the topic.  Examples become
-unit TF-IDF vectors in an inverted index: postings of a term are grouped into blocks of
-BLOCK neighbouring examples, and each (term, block) keeps its largest weight.
+SAMPLE_CHARS characters).  Every word of a text counts, known or not: its weight is
+(1 + log tf) x idf x rf, rf being the relevance frequency log2(2 + toxic / max(1, others))
+over the examples that hold the word (1 for words that say nothing), which is the published
+TF-IDF-RF weight.  Nothing is left out of the vocabulary.  Examples become unit vectors in an
+inverted index: postings of a term are grouped into blocks of BLOCK neighbouring examples,
+and each (term, block) keeps its largest weight.
 
 A text is a query.  The block maxima bound what any example of a block can score; blocks
 are opened from the highest bound down and the search ends when no bound beats the K-th
@@ -13,17 +14,17 @@ best cosine, so the K nearest are exact.  They vote with their cosines as weight
 of the sample that was kept out of the index turns votes into calibrated probabilities.
 The neighbours with their labels and cosines are the evidence.
 
-Cases: a null or empty text, and one with no word of the vocabulary, has no neighbour and
+Cases: a null or empty text, and one without any word of the examples, has no neighbour and
 gets the calibrated rate of such examples.  Ties of cosine go to the earlier example.
 With no labels at all the score is 0.  Repeated rows are scored each by itself, empty
 tables give an empty result, other columns are not read.  Several labels of one id count
-as toxic if any is.
+as toxic if any is.  Long texts are cut into words block by block.  Labelled texts over
+SAMPLE_CHARS are scored as any other and only never learnt from.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,106 +36,127 @@ from pyspark.sql import functions as F
 from skriva.llm import kernels as K
 
 SAMPLE_ROWS, SAMPLE_CHARS = 8000, 20_000
-NEIGHBOURS, BLOCK, Z, MIN_TEXTS, VOCABULARY = 25, 64, 6.0, 4, 4096
-_TO = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-
-
-def terms(text: bytes, vocabulary: dict[bytes, int]) -> Counter:
-    """Counts of the vocabulary's words in a text."""
-    get = vocabulary.get
-    return Counter(t for w in text.translate(_TO).split() if (t := get(w)) is not None)
-
-
-def choose_words(texts: list[bytes], toxic: np.ndarray) -> list[bytes]:
-    """Words that tell the labels apart, the most telling first."""
-    seen, bad = Counter(), Counter()
-    for text, y in zip(texts, toxic, strict=True):
-        w = set(text.translate(_TO).split())
-        seen.update(w)
-        if y:
-            bad.update(w)
-    p = toxic.mean() if len(toxic) else 0.0
-    score = {}
-    for w, n in seen.items():
-        if n >= MIN_TEXTS and 0 < p < 1:
-            z = (bad[w] - n * p) / math.sqrt(n * p * (1 - p))
-            if abs(z) >= Z:
-                score[w] = abs(z)
-    return sorted(score, key=lambda w: (-score[w], w))[:VOCABULARY]
+NEIGHBOURS, BLOCK = 25, 64
+_TO = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
+
+
+def bags(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, counts) of the words of each text of a buffer."""
+    data = _TO[data]
+    for i, j in K.blocks(off):
+        _, _, h, first = K.doc_words(data, off, i, j)
+        for k in range(j - i):
+            yield np.unique(h[first[k] : first[k + 1]], return_counts=True)
+
+
+def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return next(bags(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of every range one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
 @dataclass
 class Index:
-    vocabulary: dict[bytes, int]
-    idf: np.ndarray
-    label: np.ndarray  # of each example, in index order
-    ids: list  # of each example
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)  # term: {block: (examples, weights)}
-    most: np.ndarray | None = None  # terms x blocks: largest weight
+    words: np.ndarray  # hashes of the vocabulary, ascending; a term is a place here
+    weight: np.ndarray  # idf x rf of each term
+    unseen: float  # weight of a word that no example holds
+    label: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each example, in index order
+    ids: list = field(default_factory=list)  # of each example
+    first: np.ndarray | None = None  # term: where its block entries begin, with the total last
+    block: np.ndarray | None = None  # of each entry
+    most: np.ndarray | None = None  # of each entry: its largest weight
+    begin: np.ndarray | None = None  # of each entry: where its postings begin, with the total last
+    example: np.ndarray | None = None  # of each posting
+    value: np.ndarray | None = None  # of each posting
     slope: float = 4.0
     shift: float = -2.0
-    rest: float = 0.0  # rate of examples without any word of the vocabulary
-
-    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        c = terms(text, self.vocabulary)
-        t = np.array(sorted(c), np.int64)
-        w = (1 + np.log(np.array([c[x] for x in t], np.float64))) * self.idf[t] if len(t) else np.zeros(0)
-        return t, w / max(1e-12, np.sqrt((w * w).sum()))
+    rest: float = 0.0  # rate of examples without any neighbour
+
+    def vector(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of a bag as a unit vector; words without a term count in its length only."""
+        if not len(h):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.words, h), max(0, len(self.words) - 1))
+        known = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
+        w = 1 + np.log(n.astype(np.float64))
+        w *= np.where(known, self.weight[at], self.unseen) if len(self.words) else self.unseen
+        return at[known], w[known] / max(1e-12, math.sqrt(float(w @ w)))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine over 0: exact."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(t) or self.most is None or not self.most.shape[1]:
-            return none
-        bound = w @ self.most[t]
+        best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
+        if not len(t) or self.first is None or not len(self.label):
+            return best_e, best_s
+        n = len(self.label)
+        size = self.first[t + 1] - self.first[t]
+        entry, q = _ranges(self.first[t], size), np.repeat(w, size)
+        block = self.block[entry]
+        bound = np.bincount(block, weights=q * self.most[entry], minlength=-(-n // BLOCK))
         order = np.argsort(-bound, kind="stable")
-        best_e, best_s = none
-        for b in order:
-            if bound[b] <= 0 or len(best_s) >= k and bound[b] < best_s[k - 1] - 1e-12:
-                break
-            s = np.zeros(BLOCK)
-            for x, q in zip(t, w, strict=True):
-                if (p := self.postings[x].get(int(b))) is not None:
-                    s[p[0]] += q * p[1]
-            hit = np.flatnonzero(s > 0)
-            e = np.concatenate((best_e, hit + b * BLOCK))
-            s = np.concatenate((best_s, s[hit]))
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        rank = rank[block]
+        done, width = 0, 8
+        while done < len(order) and bound[order[done]] > 0 and not (len(best_s) >= k and bound[order[done]] < best_s[k - 1] - 1e-12):
+            if len(best_s) >= k:  # no further than blocks that may still matter
+                width = min(width, int((bound[order[done:]] >= best_s[k - 1] - 1e-12).sum()))
+            use = np.flatnonzero((rank >= done) & (rank < done + width))
+            at = self.begin[entry[use]]
+            size = self.begin[entry[use] + 1] - at
+            post = _ranges(at, size)
+            s = np.bincount(self.example[post], weights=np.repeat(q[use], size) * self.value[post], minlength=n)
+            hit = np.flatnonzero(s > (best_s[k - 1] - 1e-12 if len(best_s) >= k else 0))
+            if len(hit) > 4 * k:  # far fewer are sorted; ties with the k-th stay in
+                least = np.partition(s[hit], len(hit) - k)[len(hit) - k]
+                hit = hit[s[hit] >= least]
+            e, s = np.concatenate((best_e, hit)), np.concatenate((best_s, s[hit]))
             top = np.lexsort((e, -s))[:k]
             best_e, best_s = e[top], s[top]
+            done, width = done + width, 2 * width
         return best_e, best_s
 
-    def vote(self, text: bytes) -> tuple[float | None, np.ndarray, np.ndarray]:
-        e, s = self.nearest(*self.vector(text))
+    def vote(self, words: tuple[np.ndarray, np.ndarray]) -> tuple[float | None, np.ndarray, np.ndarray]:
+        e, s = self.nearest(*self.vector(*words))
         return (float((s * self.label[e]).sum() / s.sum()) if len(e) else None), e, s
 
-    def score(self, text: bytes) -> float:
-        v, _, _ = self.vote(text)
+    def probability(self, v: float | None) -> float:
         return self.rest if v is None else 1 / (1 + math.exp(-(self.slope * v + self.shift)))
 
 
 def build(texts: list[bytes], toxic: list[int], ids: list) -> Index:
     """Index three quarters of the examples; the others calibrate the votes."""
     y = np.array(toxic, np.float64)
-    words = choose_words(texts, y)
-    vocabulary = {w: i for i, w in enumerate(words)}
-    counted = [terms(t, vocabulary) for t in texts]
-    df = Counter(t for c in counted for t in c)
-    idf = np.array([math.log((1 + len(texts)) / (1 + df[i])) + 1 for i in range(len(words))])
-    index = Index(vocabulary, idf, np.zeros(0), [])
-    inside = [i for i in range(len(texts)) if i % 4]
+    counted = [bag(t) for t in texts]
+    size = np.array([len(h) for h, _ in counted], np.int64)
+    every = np.concatenate([h for h, _ in counted]) if counted else np.zeros(0, np.uint64)
+    words, term = np.unique(every, return_inverse=True)
+    seen = np.bincount(term, minlength=len(words))
+    bad = np.bincount(term, weights=np.repeat(y, size), minlength=len(words))
+    n = len(texts)
+    weight = (np.log((1 + n) / (1 + seen)) + 1) * np.log2(2 + bad / np.maximum(1, seen - bad))
+    index = Index(words, weight, math.log(1 + n) + 1)
+    vectors = [index.vector(*b) for b in counted]
     # neighbours in the index share their heaviest words, so block maxima are tight
-    vectors = {i: index.vector(texts[i]) for i in inside}
-    inside.sort(key=lambda i: (sorted(zip(-vectors[i][1], vectors[i][0], strict=True)), i))
+    inside = sorted((i for i in range(n) if i % 4), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:3]].tolist(), i))
     index.label, index.ids = y[inside], [ids[i] for i in inside]
-    blocks = -(-len(inside) // BLOCK)
-    index.most, lists = np.zeros((len(words), blocks)), [{} for _ in words]
-    for place, i in enumerate(inside):
-        b, at = divmod(place, BLOCK)
-        for t, w in zip(*vectors[i], strict=True):
-            lists[t].setdefault(b, []).append((at, w))
-            index.most[t, b] = max(index.most[t, b], w)
-    index.postings = [{b: (np.array([a for a, _ in p]), np.array([w for _, w in p])) for b, p in of.items()} for of in lists]
-    _calibrate(index, [(index.vote(texts[i])[0], y[i]) for i in range(len(texts)) if not i % 4])
+    if inside:
+        t = np.concatenate([vectors[i][0] for i in inside])
+        w = np.concatenate([vectors[i][1] for i in inside])
+        e = np.repeat(np.arange(len(inside)), [len(vectors[i][0]) for i in inside])
+        order = np.lexsort((e, t))
+        t, w, e = t[order], w[order], e[order]
+        b = e // BLOCK
+        start = np.ones(len(t), bool)
+        start[1:] = (t[1:] != t[:-1]) | (b[1:] != b[:-1])
+        begin = np.flatnonzero(start)
+        index.example, index.value, index.begin = e.astype(np.int32), w, np.append(begin, len(t))
+        index.block, index.most = b[begin].astype(np.int32), np.maximum.reduceat(w, begin) if len(begin) else w
+        index.first = np.searchsorted(t[begin], np.arange(len(words) + 1))
+    _calibrate(index, [(index.vote(counted[i])[0], y[i]) for i in range(n) if not i % 4])
     return index
 
 
@@ -165,20 +187,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return build(K.texts(got.column("t").combine_chunks()), [int(y > 0) for y in got.column("y").to_pylist()], got.column("k").to_pylist())
 
 
-def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", evidence: bool = False) -> DataFrame:
-    """One row a text: id, score and, if wanted, evidence (id, label and cosine of the neighbours)."""
+def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", evidence: int = 0) -> DataFrame:
+    """One row a text: id, score and, if wanted, the first ``evidence`` neighbours (id, label and cosine)."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            texts = K.texts(batch.column(1))
-            out = [batch.column(0), pa.array([m.score(t) for t in texts], pa.float64())]
+            found = [m.vote(b) for b in bags(*K.utf8(batch.column(1)))]
+            out = [batch.column(0), pa.array([m.probability(v) for v, _, _ in found], pa.float64())]
             if evidence:
-                found = ((e, s) for _, e, s in map(m.vote, texts))
                 shape = pa.list_(pa.struct([("id", batch.column(0).type), ("label", pa.int32()), ("cosine", pa.float64())]))
-                out.append(pa.array([[{"id": m.ids[i], "label": int(m.label[i]), "cosine": float(c)} for i, c in zip(e, s, strict=True)] for e, s in found], shape))
+                out.append(pa.array([[{"id": m.ids[i], "label": int(m.label[i]), "cosine": float(c)} for i, c in zip(e[:evidence], s[:evidence], strict=True)] for _, e, s in found], shape))
             yield pa.RecordBatch.from_arrays(out, ["id", "score", *(["evidence"] if evidence else [])])
 
     schema = f"id {kind}, score double" + (f", evidence array<struct<id:{kind},label:int,cosine:double>>" if evidence else "")

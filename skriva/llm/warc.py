@@ -213,24 +213,41 @@ def read_bundles(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
     return _files(spark, folder).mapInArrow(run, RECORD)
 
 
+def fetch(file, places: list[dict]) -> Iterator[dict]:
+    """The records at ``places`` of an open bundle: its footer and the frames that hold them are read, nothing else."""
+
+    def part(at: int, size: int) -> bytes:
+        file.seek(at)
+        return file.read(size)
+
+    total = file.size()
+    n, flags, _ = struct.unpack("<IBI", part(total - 9, 9))
+    table = 9 + n * (12 if flags & 0x80 else 8)
+    where, open_frame, data = frames(part(total - table, table)), -1, b""
+    for p in sorted(places, key=lambda p: (p["frame"], p["at"])):
+        if p["frame"] != open_frame:
+            open_frame, (begin, size, plain) = p["frame"], where[p["frame"]]
+            data = frame(part(begin, size), (0, size, plain))
+        yield from parse(data, p["at"], p["at"] + p["size"])
+
+
 def lookup(spark: SparkSession, folder: str, index: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
-    """The records of ``ids`` (RECORD): only the frames that hold them are decoded."""
+    """The records of ``ids`` (RECORD), read by their ranges: of other bundles and frames not a byte."""
     wanted = index.join(ids.select(F.col(id_col).cast("string").alias("id")).distinct(), "id").groupBy("bundle").agg(F.collect_list(F.struct("frame", "at", "size")).alias("places"))
-    files = _files(spark, folder).withColumn("bundle", F.element_at(F.split("path", "/"), -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content, places in zip(batch.column(0), batch.column(1), strict=True):
-                bundle = content.as_py()
-                table, open_frame, data = frames(bundle), -1, b""
-                for p in sorted(places.as_py(), key=lambda p: (p["frame"], p["at"])):
-                    if p["frame"] != open_frame:
-                        open_frame, data = p["frame"], frame(bundle, table[p["frame"]])
-                    yield _records(list(parse(data, p["at"], p["at"] + p["size"])))
+            for bundle, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with where.open_input_file(f"{root}/{bundle}") as file:
+                    for record in fetch(file, places):
+                        yield _records([record])
 
-    return files.join(wanted, "bundle").select("content", "places").mapInArrow(run, RECORD)
+    return wanted.select("bundle", "places").mapInArrow(run, RECORD)
 
 
 def archive_folder(spark: SparkSession) -> str:
-    """A fresh folder for archives in the shared one."""
+    """A fresh folder for archives in the shared one.  It stays until its owner deletes it, as results are read from it."""
     return f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"

@@ -11,7 +11,8 @@ import pytest
 import zstandard
 
 import corpus_pipeline
-from skriva.llm import langid, passages, warc, wrappers
+from pyspark.sql import functions as F
+from skriva.llm import langid, passages, warc
 from skriva.llm.support import components, small_side
 
 # -- archives
@@ -54,6 +55,33 @@ def test_bundles_are_seekable_zstandard(spark, tmp_path):
     assert one["payload"] == b"<p>37</p>" * 4000
 
 
+def test_a_lookup_reads_the_footer_and_one_frame(spark, tmp_path):
+    rng = random.Random(1)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "".join(rng.choices("abcdefgh", k=200_000))) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    index = warc.write_bundles(pages, str(tmp_path / "w")).collect()
+    (path,) = (tmp_path / "w").glob("part-*.warc.zst")
+
+    class Counting:
+        def __init__(self):
+            self.file, self.read_bytes = path.open("rb"), 0
+
+        def size(self):
+            return path.stat().st_size
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            self.read_bytes += n
+            return self.file.read(n)
+
+    r = next(x for x in index if x.id == "17")
+    file, (_, packed, _) = Counting(), warc.frames(path.read_bytes())[r.frame]
+    (got,) = warc.fetch(file, [{"frame": r.frame, "at": r.at, "size": r.size}])
+    assert got["id"] == "17" and got["sound"]
+    assert file.read_bytes < packed + 2000 < path.stat().st_size / 5
+
+
 def test_no_pages_no_bundles(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.write_bundles(empty, str(tmp_path / "w")).count() == 0
@@ -147,54 +175,6 @@ def test_small_side_is_checked(spark):
     assert "broadcast" not in plan(799)
 
 
-# -- wrappers
-
-
-def page(title, paragraphs, extra=""):
-    body = "".join(f"<p>{p}</p>" for p in paragraphs)
-    menu = "".join(f"<li><a href='/{k}'>menu {k}</a></li>" for k in range(len(paragraphs) % 3 + 1))
-    return f"<!DOCTYPE html><html><head><title>{title} | site</title><script>var x='</p>';</script></head><body><nav><ul>{menu}</ul></nav><div class='ad'>buy</div><article><h1>{title}</h1>{body}{extra}</article><section class=comments><article><p>first!</p></article></section><footer>&copy; x</footer></body></html>"
-
-
-def test_extraction_keeps_the_article_only():
-    got = wrappers.extract(page("A &amp; B", ["one  <b>two</b>\n three", "x &lt; y&nbsp;z", ""], "<aside>see also</aside><form><p>name</p></form><div class='share'>share</div><ul><li>i<li>ii</ul>"))
-    assert got == "A & B\none two three\nx < y z\ni\nii"
-    assert wrappers.extract("") == ""
-    assert wrappers.extract("plain & simple") == "plain & simple"
-    assert wrappers.extract("<p>a<br>b<p>c<!-- no --><script>d") == "a b\nc"
-    assert wrappers.extract("<body><header>top</header><main><header><h1>T</h1></header><p>x</main><p>after") == "T\nx"
-
-
-def test_streams_fold_and_align():
-    f = lambda h: wrappers.write(wrappers.fold(wrappers.stream(h)))
-    assert f("<p>a<p>b<p>c") == f("<p>a<p>b") == "( <p> # )+"
-    one, two = f("<div><p>a<p>b</div><footer>x</footer>"), f("<div><h2>t</h2><p>a</div><footer>y</footer>")
-    w = wrappers.infer([one, two])
-    assert w == "<div> ( <h2> )? ( # )? ( </h2> )? ( <p> # )+ </div> <footer> # </footer>"
-    assert wrappers.write(wrappers.read(w)) == w
-    for h in ("<div><p>a<p>b<p>c</div><footer>x</footer>", "<div><h2>t</h2><p>a</div><footer>y</footer>"):
-        assert wrappers.pattern(w).fullmatch("".join(x + "\n" for x in wrappers.stream(h)))
-    assert not wrappers.pattern(w).fullmatch("<table>\n")
-
-
-def test_wrappers_by_host(spark):
-    rng = random.Random(1)
-    pages = [(i, f"http://h{i % 3}.example/{i}", page(f"T{i}", [f"p{k}" for k in range(rng.randint(1, 6))])) for i in range(60)]
-    pages += [(100 + i, f"https://plain.example:80/{i}", f"<body><div class=top>menu</div><div class=body><p>{'long text ' * 9}{i}<p>more</div></body>") for i in range(6)]
-    pages += [(200, None, None), (201, "", ""), (202, "http://h1.example/x", "<table><tr><td>odd")]
-    frame = spark.createDataFrame([(*p, "w", "r") for p in pages], "page_id long, url string, html string, wrapper string, region string")
-    learnt = wrappers.learn(frame)
-    assert {r.host: r.pages for r in learnt.collect()} == {"": 2, "h0.example": 20, "h1.example": 21, "h2.example": 20, "plain.example": 6}
-    got = {r.page_id: r for r in wrappers.extract_pages(frame, learnt).collect()}
-    assert len(got) == len(pages)
-    assert all(got[i].matched and got[i].text.startswith(f"T{i}\np0") and "menu" not in got[i].text and "first!" not in got[i].text for i in range(60))
-    assert got[103].text == "long text " * 9 + "3\nmore"
-    assert got[200].text == got[201].text == ""
-    assert got[202].text == "odd"
-    assert all(r.n_chars == len(r.text) for r in got.values())
-    assert wrappers.extract_pages(frame.limit(0), wrappers.learn(frame.limit(0))).count() == 0
-
-
 # -- languages
 
 
@@ -209,14 +189,30 @@ def test_languages(spark):
     assert sum(got[i].lang_pred == lang for i, _, lang in rows) >= 396
     assert (got[900].lang_pred, got[901].lang_pred, got[902].lang_pred) == ("und", "und", "fr")
     assert all(0 <= r.score <= 1 for r in got.values())
-    odd = spark.createDataFrame([(1, "漢字 仮名 交じり")], "doc_id long, text string")
-    assert langid.identify(odd, model, reject_below=1.01).first().lang_pred == "und"
+    assert got[900].rejected and got[901].rejected
+    assert sum(got[i].rejected for i, _, _ in rows) <= 0.05 * len(rows)  # about REJECT of known languages
+    mixed = [(i, " ".join(said(lang, 1) for lang in parts for _ in range(5))) for i in range(50)]
+    odd = spark.createDataFrame(mixed, "doc_id long, text string")
+    assert langid.identify(odd, model).where("rejected").count() > 25
     nothing = langid.fit(docs.limit(0))
-    assert langid.identify(odd, nothing).first().lang_pred == "und"
+    assert {(r.lang_pred, r.rejected) for r in langid.identify(odd, nothing).collect()} == {("und", True)}
+    assert langid.identify(docs.limit(0), model).count() == 0
+    again = docs.where("doc_id < 20").unionByName(docs.where("doc_id < 20")).withColumn("score", F.lit("clash"))
+    assert langid.identify(again, model).distinct().count() == 20
     long = said("de", 3000)
     assert langid.identify(spark.createDataFrame([(1, long)], "doc_id long, text string"), model).first().lang_pred == "de"
 
 
+def test_grams_join_over_blocks(monkeypatch):
+    text = " ".join(random.Random(2).choices(["Ärger", "x", "die, und", "ñandú  "], k=400)).encode()
+    table = np.random.default_rng(1).normal(size=(langid.BUCKETS, 3)).astype(np.float32)
+    model = langid.Model(["a", "b", "c"], table, np.zeros(3, np.float32))
+    data, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = langid.scores(model, data, off)
+    monkeypatch.setattr(langid.K, "BLOCK", 37)
+    assert np.allclose(langid.scores(model, data, off), whole)
+
+
 # -- the pipeline
 
 

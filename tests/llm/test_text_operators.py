@@ -1,6 +1,7 @@
 """Operators on whole texts against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from skriva.llm import bpe, decontaminate, kernels, repetition, resample, simhash, toxicity
 
@@ -227,16 +229,49 @@ def test_nearest_is_exact():
         y.append(int(bad))
     index = toxicity.build(texts, y, list(range(600)))
     inside = [i for i in range(600) if i % 4]
-    vectors = {i: dict(zip(*map(list, index.vector(texts[i])), strict=True)) for i in inside}
+    vectors = {i: dict(zip(*map(list, index.vector(*toxicity.bag(texts[i]))), strict=True)) for i in inside}
     by_id = dict(zip(index.ids, range(len(index.ids)), strict=True))
-    for q in range(0, 600, 37):
-        t, w = index.vector(texts[q])
+    for q in range(0, 600, 3):
+        t, w = index.vector(*toxicity.bag(texts[q] + b" neverseen"))
         cos = sorted(((round(sum(a * vectors[i].get(x, 0.0) for x, a in zip(t, w, strict=True)), 9), -by_id[i]) for i in inside), reverse=True)[:10]
         e, s = index.nearest(t, w, 10)
         assert [round(float(c), 9) for c in s] == [c for c, _ in cos if c > 0]
-    right = sum((index.score(x) >= 0.5) == bool(v) for x, v in zip(texts, y, strict=True))
+    right = sum((index.probability(index.vote(toxicity.bag(x))[0]) >= 0.5) == bool(v) for x, v in zip(texts, y, strict=True))
     assert right > 570
-    assert 0 <= index.score(b"") <= 1
+    assert 0 <= index.probability(index.vote(toxicity.bag(b""))[0]) <= 1
+
+
+def test_weights_are_those_of_the_formula():
+    texts = [b"a a b", b"b c", b"c c c d", b"d a"]
+    index = toxicity.build(texts, [1, 0, 0, 1], [0, 1, 2, 3])
+    words, toxic = [t.split() for t in texts], [1, 0, 0, 1]
+    for text in texts:
+        w = {}
+        for x in set(text.split()):
+            df, bad = sum(x in t for t in words), sum(y for t, y in zip(words, toxic, strict=True) if x in t)
+            w[x] = (1 + math.log(text.split().count(x))) * (math.log(5 / (1 + df)) + 1) * math.log2(2 + bad / max(1, df - bad))
+        n = math.sqrt(sum(v * v for v in w.values()))
+        assert np.allclose(sorted(index.vector(*toxicity.bag(text))[1]), sorted(v / n for v in w.values()))
+
+
+def test_toxicity_on_tables(spark):
+    rng = random.Random(8)
+    said = lambda bad: " ".join(rng.choices([f"w{i}" for i in range(80)], k=20) + (["vile", "nasty"] if bad else []))
+    rows = [(i, said(i % 3 == 0), "clash", 0.5) for i in range(400)] + [(900, None, "x", 0.0), (901, "", "x", 0.0), (902, "zzz", None, None), (None, said(True), "x", 0.0), (903, said(False) * 4000 + " vile nasty", "x", 0.0)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, label string, score double")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), "clash") for i in range(0, 400, 2)] + [(0, 0, "again"), (900, 1, ""), (None, 1, ""), (1, None, "")], "doc_id long, toxic int, text string")
+    index = toxicity.fit(docs, labels)
+    out = toxicity.score(docs, index, evidence=2)
+    got = [(r.doc_id, r.score, r.evidence) for r in out.collect()]
+    assert len(got) == len(rows) + 3
+    scores = {i: s for i, s, _ in got}
+    assert sum((scores[i] >= 0.5) == (i % 3 == 0) for i in range(400)) >= 396
+    assert scores[900] == scores[901] == scores[902] == index.rest
+    assert all(len(e) == 2 and e[0].cosine >= e[1].cosine and e[0].label in (0, 1) for i, _, e in got if i is not None and i < 400)
+    assert sorted(got[-3:], key=str) == sorted(got[:3], key=str)  # repeated rows alike
+    assert toxicity.score(docs.limit(0), index).count() == 0
+    nothing = toxicity.fit(docs, labels.limit(0))
+    assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.0}
 
 
 # -- resampling
@@ -250,24 +285,53 @@ def test_kth_key_and_draw(spark):
     good = lambda: " ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat"], k=60))
     junk = lambda: " ".join(rng.choices(["BUY", "!!!", "$$$", "NOW", "###"], k=60))
     texts = [(i, good() if i % 4 else junk()) for i in range(400)] + [(None, good()), (900, None), (901, "")]
-    labels = spark.createDataFrame([(i, int(i % 4 > 0), None) for i in range(0, 400, 2)], "doc_id long, quality int, key int")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), None) for i in range(0, 400, 3)], "doc_id long, quality int, key int")
     docs = frame(spark, texts)
     model = resample.fit(docs, labels)
     out = resample.draw(docs, model)
     assert out.schema == docs.schema
+    assert abs(model.share - 100 / 134 - resample.SLACK) < 1e-9
     kept = {r.doc_id for r in out.collect()}
     assert sum(i in kept for i in range(400) if i % 4) >= 297
-    assert sum(i in kept for i in range(0, 400, 4)) <= 3
+    assert sum(i in kept for i in range(0, 400, 4)) <= 6
     assert resample.draw(docs, resample.fit(docs, labels.limit(0))).count() == len(texts)
+    assert resample.draw(docs, model, k=10).count() == 10
+    twice = docs.unionByName(docs)
+    assert resample.draw(twice, model, k=10).count() == 10  # five texts, each twice: one key for equal rows
+    assert resample.draw(docs.limit(0), model).count() == 0
+    clash = docs.withColumn("key", F.lit("x")).withColumn("log_weight", F.lit(1))
+    assert resample.draw(clash, model).schema == clash.schema
+
+
+def test_draws_follow_the_weights():
+    w, k = np.log(np.array([5.0, 1.0, 2.0, 0.5, 1.5])), 2
+    p = np.exp(w) / np.exp(w).sum()
+    want = [p[i] + sum(p[j] * p[i] / (1 - p[j]) for j in range(5) if j != i) for i in range(5)]  # one after the other, without replacement
+    seen = np.zeros(5)
+    for seed in range(20_000):
+        seen[np.argsort(-(w + resample.gumbel(list(range(5)), seed)))[:k]] += 1
+    assert np.allclose(seen / 20_000, want, atol=0.015)
+
+
+def test_weights_are_likelihood_ratios(spark):
+    docs = frame(spark, [(1, "a b"), (2, "a c !"), (3, "b"), (4, None)])
+    model = resample.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    texts = {1: "a b", 2: "a c !", 3: "b"}
+    bag = lambda t: list(resample.grams(*kernels.utf8(pa.array([t])), 0, 1)[0])
+    raw = np.ones(resample.BUCKETS) + np.bincount(sum(map(bag, texts.values()), []), minlength=resample.BUCKETS)
+    target = np.bincount(bag("a b"), minlength=resample.BUCKETS)
+    for r in resample.scored(docs, model).collect():
+        want = sum(math.log((target[b] + resample.PRIOR * raw[b] / raw.sum()) / (target.sum() + resample.PRIOR) / (raw[b] / raw.sum())) for b in bag(texts.get(r.doc_id, "")))
+        assert abs(r.log_weight - want) < 1e-9
 
 
 def test_long_texts_are_weighed_whole(monkeypatch):
     text = " ".join(f"w{i % 97}," for i in range(5000))
     ratio = np.random.default_rng(0).normal(size=resample.BUCKETS)
-    whole = resample.Model(ratio, 1, 0).weights(*kernels.utf8(pa.array([text, "a"])))
+    whole = resample.Model(ratio).weights(*kernels.utf8(pa.array([text, "a"])))
     tokens = re.findall(r"\w+|[^\w\s]+", text)
     h = {t: kernels.hash_spans(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]))[0] for t in set(tokens)}
     one = np.array([h[t] for t in tokens], np.uint64)
     two = kernels.mix(one[:-1] * np.uint64(3) + one[1:])
     b = (np.concatenate((one, two)) >> np.uint64(49)).astype(int)
-    assert abs(whole[0] - ratio[b].mean()) < 1e-9
+    assert abs(whole[0] - ratio[b].sum()) < 1e-6
