@@ -25,7 +25,7 @@ decoded, white space in a block becomes one space, and blocks are joined by one
 Cases: a null or empty html gives an empty text; a page without host is learnt under the
 empty host; one of a host that was not learnt, or that its wrapper does not match, is
 extracted by its containers alone and marked.  Fewer than VARIETY pages of different titles make
-no slot constant, nor do copies of one page.  An element that is never closed ends with the page, in
+no slot constant, nor do copies of one page, and a slot with MOST of a host's text never is.  An element that is never closed ends with the page, in
 linear time.  Repeated rows are extracted each by itself, empty tables give an empty result,
 other columns are only carried if named.
 """
@@ -51,6 +51,8 @@ from skriva.llm.support import cut
 LONGEST_GROUP, LONG, FAN, VARIETY = 12, 200, 64, 3
 #: Share of a slot's text that lies in links from which it is a menu's.
 LINKS = 0.7
+#: A slot with this share of its host's text is no template's, even if it is constant.
+MOST = 0.2
 BROADCAST_CHARS = 8 << 20
 _ATTRS = r"((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[^>=])*+)(?:>|\Z)"
 _TOKEN = re.compile(
@@ -410,9 +412,10 @@ class Host:
     @classmethod
     def of(cls, slots: list[dict]) -> Host:
         got = cls()
+        most = MOST * sum(s["chars"] for s in slots)
         for s in slots:
             key = s["slot"], s["path"]
-            if s["constant"] and s["variety"] >= VARIETY:
+            if s["constant"] and s["variety"] >= VARIETY and s["chars"] < most:
                 got.constant.add(key)
             elif s["linked"] >= LINKS * s["chars"]:
                 got.menus.add(key)
