@@ -6,9 +6,11 @@ SAMPLE_CHARS characters).  Every word of a text counts, known or not: its weight
 over the examples that hold the word (1 for words that say nothing), which is the published
 TF-IDF-RF weight.  Nothing is left out of the vocabulary.  Examples become unit vectors in an
 inverted index: postings of a term are grouped into blocks of BLOCK neighbouring examples,
-and each (term, block) keeps its largest weight.
+and each (term, block) keeps its largest weight.  The postings of the DENSE most frequent terms
+are kept as rows of a matrix, as they name most examples anyway.
 
-A text is a query.  The block maxima bound what any example of a block can score; blocks
+A text is a query.  The matrix gives the frequent terms' part of all cosines; with it and the
+block maxima of the other terms no example of a block can score more than its bound.  Blocks
 are opened from the highest bound down and the search ends when no bound beats the K-th
 best cosine, so the K nearest are exact.  They vote with their cosines as weights; a part
 of the sample that was kept out of the index turns votes into calibrated probabilities.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from skriva.llm import kernels as K
 
 SAMPLE_ROWS, SAMPLE_CHARS = 8000, 20_000
-NEIGHBOURS, BLOCK = 25, 64
+NEIGHBOURS, BLOCK, DENSE = 25, 256, 256
 _TO = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 
 
@@ -72,6 +74,8 @@ class Index:
     begin: np.ndarray | None = None  # of each entry: where its postings begin, with the total last
     example: np.ndarray | None = None  # of each posting
     value: np.ndarray | None = None  # of each posting
+    row: np.ndarray | None = None  # of each term in the matrix, or -1
+    matrix: np.ndarray | None = None  # frequent terms x examples, these filled up to whole blocks
     slope: float = 4.0
     shift: float = -2.0
     rest: float = 0.0  # rate of examples without any neighbour
@@ -86,42 +90,63 @@ class Index:
         w *= np.where(known, self.weight[at], self.unseen) if len(self.words) else self.unseen
         return at[known], w[known] / max(1e-12, math.sqrt(float(w @ w)))
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine over 0: exact."""
+    def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms add to the cosine of each query with each example."""
+        q = np.zeros((len(queries), len(self.matrix)))
+        for k, (t, w) in enumerate(queries):
+            at = self.row[t]
+            q[k, at[at >= 0]] = w[at >= 0]
+        return q @ self.matrix
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest with a cosine over 0: exact.  ``known``: the row of ``frequent``."""
         best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        if not len(t) or self.first is None or not len(self.label):
+        if not len(t) or not len(self.label):
             return best_e, best_s
-        n = len(self.label)
+        known = self.frequent([(t, w)])[0] if known is None else known
+        rare = self.row[t] < 0
+        t, w = t[rare], w[rare]
         size = self.first[t + 1] - self.first[t]
         entry, q = _ranges(self.first[t], size), np.repeat(w, size)
         block = self.block[entry]
-        bound = np.bincount(block, weights=q * self.most[entry], minlength=-(-n // BLOCK))
+        bound = known.reshape(-1, BLOCK).max(1) + np.bincount(block, weights=q * self.most[entry], minlength=len(known) // BLOCK)
         order = np.argsort(-bound, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         rank = rank[block]
         done, width = 0, 8
-        while done < len(order) and bound[order[done]] > 0 and not (len(best_s) >= k and bound[order[done]] < best_s[k - 1] - 1e-12):
+        while done < len(order) and bound[order[done]] > 0:
             if len(best_s) >= k:  # no further than blocks that may still matter
-                width = min(width, int((bound[order[done:]] >= best_s[k - 1] - 1e-12).sum()))
+                width = min(width, int((bound[order[done:]] >= best_s[k - 1] - 1e-9).sum()))
+                if not width:
+                    break
             use = np.flatnonzero((rank >= done) & (rank < done + width))
             at = self.begin[entry[use]]
             size = self.begin[entry[use] + 1] - at
             post = _ranges(at, size)
-            s = np.bincount(self.example[post], weights=np.repeat(q[use], size) * self.value[post], minlength=n)
-            hit = np.flatnonzero(s > (best_s[k - 1] - 1e-12 if len(best_s) >= k else 0))
+            s = np.bincount(self.example[post], weights=np.repeat(q[use], size) * self.value[post], minlength=len(known))
+            opened = (order[done : done + width, None] * BLOCK + np.arange(BLOCK)).ravel()
+            s = np.round(known[opened] + s[opened], 12)  # equal examples tie whatever the order of their sums
+            hit = np.flatnonzero(s >= best_s[k - 1] if len(best_s) >= k else s > 0)
             if len(hit) > 4 * k:  # far fewer are sorted; ties with the k-th stay in
-                least = np.partition(s[hit], len(hit) - k)[len(hit) - k]
-                hit = hit[s[hit] >= least]
-            e, s = np.concatenate((best_e, hit)), np.concatenate((best_s, s[hit]))
+                hit = hit[s[hit] >= np.partition(s[hit], len(hit) - k)[len(hit) - k]]
+            e, s = np.concatenate((best_e, opened[hit])), np.concatenate((best_s, s[hit]))
             top = np.lexsort((e, -s))[:k]
             best_e, best_s = e[top], s[top]
             done, width = done + width, 2 * width
         return best_e, best_s
 
+    def votes(self, words: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
+        """(vote, neighbours, cosines) of every bag."""
+        for lo in range(0, len(words), 64):
+            queries = [self.vector(*b) for b in words[lo : lo + 64]]
+            known = self.frequent(queries) if len(self.label) else [None] * len(queries)
+            for q, row in zip(queries, known, strict=True):
+                e, s = self.nearest(*q, known=row)
+                yield (float((s * self.label[e]).sum() / s.sum()) if len(e) else None), e, s
+
     def vote(self, words: tuple[np.ndarray, np.ndarray]) -> tuple[float | None, np.ndarray, np.ndarray]:
-        e, s = self.nearest(*self.vector(*words))
-        return (float((s * self.label[e]).sum() / s.sum()) if len(e) else None), e, s
+        return next(self.votes([words]))
 
     def probability(self, v: float | None) -> float:
         return self.rest if v is None else 1 / (1 + math.exp(-(self.slope * v + self.shift)))
@@ -149,14 +174,23 @@ def build(texts: list[bytes], toxic: list[int], ids: list) -> Index:
         e = np.repeat(np.arange(len(inside)), [len(vectors[i][0]) for i in inside])
         order = np.lexsort((e, t))
         t, w, e = t[order], w[order], e[order]
+        common = np.bincount(t, minlength=len(words))
+        frequent = np.argsort(-common, kind="stable")[:DENSE]
+        frequent = frequent[common[frequent] >= len(inside) / 16]
+        index.row = np.full(len(words), -1)
+        index.row[frequent] = np.arange(len(frequent))
+        index.matrix = np.zeros((len(frequent), -(-len(inside) // BLOCK) * BLOCK))
+        row = index.row[t]
+        index.matrix[row[row >= 0], e[row >= 0]] = w[row >= 0]
+        t, w, e = t[row < 0], w[row < 0], e[row < 0]
         b = e // BLOCK
         start = np.ones(len(t), bool)
         start[1:] = (t[1:] != t[:-1]) | (b[1:] != b[:-1])
         begin = np.flatnonzero(start)
-        index.example, index.value, index.begin = e.astype(np.int32), w, np.append(begin, len(t))
-        index.block, index.most = b[begin].astype(np.int32), np.maximum.reduceat(w, begin) if len(begin) else w
+        index.example, index.value, index.begin = e, w, np.append(begin, len(t))
+        index.block, index.most = b[begin], np.maximum.reduceat(w, begin) if len(begin) else w
         index.first = np.searchsorted(t[begin], np.arange(len(words) + 1))
-    _calibrate(index, [(index.vote(counted[i])[0], y[i]) for i in range(n) if not i % 4])
+    _calibrate(index, [(v, y[4 * k]) for k, (v, _, _) in enumerate(index.votes(counted[::4]))])
     return index
 
 
@@ -195,7 +229,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            found = [m.vote(b) for b in bags(*K.utf8(batch.column(1)))]
+            found = list(m.votes(list(bags(*K.utf8(batch.column(1))))))
             out = [batch.column(0), pa.array([m.probability(v) for v, _, _ in found], pa.float64())]
             if evidence:
                 shape = pa.list_(pa.struct([("id", batch.column(0).type), ("label", pa.int32()), ("cosine", pa.float64())]))
