@@ -250,7 +250,8 @@ def test_hot_keys_change_nothing(spark, monkeypatch):
     calm = result()
     monkeypatch.setattr(passages, "SAMPLE", 1)
     monkeypatch.setattr(passages, "HOT", 2)
-    assert len(passages.hot_keys(frame.toDF("id", "t"))) > 5
+    monkeypatch.setattr(passages, "SHARE", 2)
+    assert len(passages.hot_keys(passages.coded(frame))[0]) > 5
     salted = result()
     linked = lambda found: {i for i, _ in found}
     assert linked(salted) == linked(calm) == {i for i, (p, _) in planted.items() if p} | {100 + i for i in range(40)}
