@@ -13,7 +13,9 @@ meet.  Within such a bucket the groups are grown from one member at a time: rows
 outside are discarded where any reference distance differs by more than the radius (the
 triangle inequality makes that safe), and the survivors are verified by counting bits.
 What has joined is not compared again, so a dense group costs little more than one pass,
-and a bucket gives one edge a member and not all pairs.
+and a bucket gives one edge a member and not all pairs.  A bucket of more than SPLIT
+fingerprints is cut once more: the bits in which they differ are dealt into radius + 1 sets, of
+which a pair within the radius has one in common.
 
 Cases: a null text counts as empty; a null id keeps its fingerprint and has a null
 component unless it shares its group with rows that have one.  Repeated rows and ties
@@ -40,6 +42,7 @@ REFERENCES = np.random.default_rng(7).integers(0, 1 << 64, 16, dtype=np.uint64,
 SEGMENTS = (13, 13, 13, 13, 12)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 15
+SPLIT = 1024
 _WORD_BYTES = bytes(c for c in range(256) if not K.SPACE[c])
 
 
@@ -106,6 +109,22 @@ def distance_table(fp: np.ndarray) -> np.ndarray:
 
 def bucket_links(fp: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Edges (member, least of its group) that connect the groups inside one bucket of distinct fingerprints."""
+    if len(fp) > SPLIT:
+        u = fp.view(np.uint64)
+        varied = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(u ^ u[0]).reshape(1).view(np.uint8), bitorder="little"))
+        edges = []
+        for part in range(radius + 1):
+            key = u & np.bitwise_or.reduce(np.uint64(1) << varied[part :: radius + 1].astype(np.uint64), initial=np.uint64(0))
+            order = np.argsort(key, kind="stable")
+            border = np.flatnonzero(np.diff(key[order])) + 1
+            for group in np.split(fp[order], border):
+                if len(group) > 1:
+                    edges += bucket_links(group, radius) if len(group) <= len(fp) // 2 else _grown(group, radius)
+        return edges
+    return _grown(fp, radius)
+
+
+def _grown(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     fp = np.sort(fp)
     u, table = fp.view(np.uint64), distance_table(fp).astype(np.int16)
     outside = np.arange(len(fp))
@@ -115,18 +134,16 @@ def bucket_links(fp: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
         frontier = [root]
         while frontier and len(outside):
             x = frontier.pop()
-            left = np.ones(len(outside), bool)
-            for p in range(table.shape[1]):
-                left &= np.abs(table[outside, p] - table[x, p]) <= radius
-                if p == 3 and not left.any():
+            near = outside
+            for p in range(0, table.shape[1], 4):  # what the distances to four references leave is looked at by the next four
+                near = near[(np.abs(table[near, p : p + 4] - table[x, p : p + 4]) <= radius).all(1)]
+                if not len(near):
                     break
-            near = np.flatnonzero(left)
-            near = near[np.bitwise_count(u[outside[near]] ^ u[x]) <= radius]
+            near = near[np.bitwise_count(u[near] ^ u[x]) <= radius]
             if len(near):
-                joined = outside[near]
-                edges += [(int(fp[y]), int(fp[root])) for y in joined]
-                frontier += joined.tolist()
-                outside = np.delete(outside, near)
+                edges += [(int(fp[y]), int(fp[root])) for y in near]
+                frontier += near.tolist()
+                outside = outside[~np.isin(outside, near)]
     return edges
 
 
@@ -142,14 +159,22 @@ def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) among distinct fingerprints that connect everything within the radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left_key, left_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # a bucket that is not yet at its end
         for batch in batches:
-            key = np.concatenate((left_key, batch.column(0).to_numpy(zero_copy_only=False)))
-            fp = np.concatenate((left_fp, batch.column(1).to_numpy(zero_copy_only=False)))
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
-            left_key, left_fp = key[last:], fp[last:]
-            yield _buckets(key[:last], fp[:last])
-        yield _buckets(left_key, left_fp)
+            key, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            if not len(key):
+                continue
+            last = int(np.searchsorted(key, key[-1]))
+            if parts and (last or key[0] != parts[0][0][0]):
+                first = int(np.searchsorted(key, parts[0][0][0], "right"))  # the rest of that bucket
+                yield _buckets(*(np.concatenate(x) for x in zip(*parts, (key[:first], fp[:first]), strict=True)))
+                parts = []
+                key, fp, last = key[first:], fp[first:], max(0, last - first)
+            if last:
+                yield _buckets(key[:last], fp[:last])
+            parts.append((key[last:], fp[last:]))
+        if parts:
+            yield _buckets(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     keyed = distinct.select("fp", F.explode(F.array(*_segment_keys())).alias("k"))
     return keyed.select("k", "fp").repartition("k").sortWithinPartitions("k").mapInArrow(run, "a bigint, b bigint")
@@ -171,10 +196,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
     found = components(links(distinct.select("fp")))
     label = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    merged = label.where("label <> fp").select("label").distinct()
     # only groups of several fingerprints need another look; the rest keep their own least id
-    several = label.join(merged, "label", "left_semi").groupBy("label").agg(F.min("least").alias("component_id"))
-    of_print = cut(label.join(several, "label", "left").select(F.col("fp").alias("f"), F.coalesce("component_id", "least").alias("component_id")))
+    several = cut(label.groupBy(F.col("label").alias("l")).agg(F.min("least").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    of_print = cut(label.join(small_side(several, 24), F.col("label") == F.col("l"), "left").select(F.col("fp").alias("f"), F.coalesce("component_id", "least").alias("component_id")))
     return prints.join(of_print, prints.fp == of_print.f, "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 

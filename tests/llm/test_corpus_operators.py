@@ -256,3 +256,18 @@ def test_hot_keys_change_nothing(spark, monkeypatch):
     linked = lambda found: {i for i, _ in found}
     assert linked(salted) == linked(calm) == {i for i, (p, _) in planted.items() if p} | {100 + i for i in range(40)}
     assert all(any(s == (0, 120) for s in salted[k]) for k in salted if k[0] >= 100)
+
+
+def test_pipeline_takes_odd_tables(spark, tmp_path):
+    rng = random.Random(3)
+    said = lambda n: " ".join(f"word{rng.randint(0, 400)}" for _ in range(n))
+    docs = [(i, said(80), "en") for i in range(30)] + [(1, said(80), "en"), (40, None, None), (41, "", "en"), (None, said(60), None), (42, said(40_000), "de")]
+    labels = [(i, int(i % 5 > 0), 0, "x") for i in range(30)]
+    spark.createDataFrame([(*d, "key", 1) for d in docs], "doc_id long, text string, lang string, key string, drop_id int").write.parquet(str(tmp_path / "a/documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string").write.parquet(str(tmp_path / "a/labels.parquet"))
+    spark.createDataFrame([(1, "some question of thirteen words")], "item_id long, text string").write.parquet(str(tmp_path / "a/benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    assert 20 <= len(got) <= len(docs)
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"a/{name}.parquet")).limit(0).write.parquet(str(tmp_path / f"b/{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0

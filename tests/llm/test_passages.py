@@ -107,3 +107,26 @@ def test_near_copies_under_a_phrase_of_others_are_found(spark):
     got = set(found(spark, docs))
     assert got <= want
     assert len(got) >= 0.95 * len(want)
+
+
+def test_rows_that_repeat_an_id_keep_their_own_words(spark):
+    rng = random.Random(9)
+    p, mine, other = words(rng, 70), words(rng, 90), words(rng, 120)
+    rows = [(1, " ".join(p)), (7, " ".join(mine + p)), (7, " ".join(other)), (8, " ".join(p)), (8, " ".join(p)), (None, " ".join(p)), (9, None), (10, "")]
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, own int, w string, start int")
+    found = passages.repeated_passages(docs)
+    assert sorted((r.id, r.partner, len(r.passages)) for r in found.collect()) == [(7, 1, 1), (8, 1, 1)]
+    kept = sorted((str(r.doc_id), r.text or "") for r in passages.cut_passages(docs, found).collect())
+    assert kept == sorted([("1", " ".join(p)), ("7", " ".join(mine) + " "), ("7", " ".join(other)), ("None", " ".join(p)), ("9", ""), ("10", "")])
+    assert passages.repeated_passages(docs.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        passages.repeated_passages(docs.selectExpr("text as doc_id", "text"))
+
+
+def test_very_long_texts_and_repeated_lines(spark):
+    rng = random.Random(10)
+    line, long = words(rng, 12), words(rng, 30_000)
+    rows = [(1, " ".join(long)), (2, " ".join(words(rng, 50) + long[10_000:10_300])), (3, " ".join(line * 2000)), (4, " ".join(words(rng, 5) + line * 30))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.id, r.partner): [(s.start, s.end) for s in r.passages] for r in passages.repeated_passages(frame).collect()}
+    assert got == {(2, 1): [(50, 350)], (4, 3): [(5, 365)]}

@@ -216,6 +216,55 @@ def test_links_find_every_pair_of_chains():
     assert len(edges) == len(fp) - len(set(want.values()))
 
 
+def united(fp, edges):
+    root = {int(v): int(v) for v in fp}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {v: find(v) for v in root}
+
+
+def test_large_buckets_are_split_without_loss(monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT", 40)
+    rng = np.random.default_rng(9)
+    x = list(rng.integers(0, 1 << 38, 300, dtype=np.uint64))  # 26 bits in common
+    for c in list(x)[:60]:
+        v = int(c)
+        for _ in range(rng.integers(1, 8)):
+            v ^= sum(1 << int(b) for b in rng.choice(38, rng.integers(1, 4), replace=False))
+            x.append(np.uint64(v))
+    fp = np.unique(np.array(x, np.uint64)).view(np.int64)
+    want = brute_components({int(v): int(v) & (1 << 64) - 1 for v in fp})
+    assert united(fp, simhash.bucket_links(fp)) == want
+
+
+def test_buckets_that_run_over_batches(spark):
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 1 << 63, 30, dtype=np.int64)
+    rows = sorted({int(b) ^ (1 << int(k)) for b in base for k in rng.integers(0, 62, 12)})
+    frame_ = spark.createDataFrame([(v,) for v in rows], "fp long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        edges = [(r.a, r.b) for r in simhash.links(frame_).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert united(rows, edges) == brute_components({v: v & (1 << 64) - 1 for v in rows})
+
+
+def test_long_texts_are_fingerprinted_in_pieces(monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(random_text(rng, "abcä ", 9) for _ in range(200)).encode() for _ in range(20)] + [b"x" * 500, b"x" * 300 + b" y", b" " * 300, b"a b" + b" " * 200 + b"c"]
+    whole = [simhash.fingerprint(t) for t in texts]
+    monkeypatch.setattr(kernels, "BLOCK", 40)
+    assert [simhash.fingerprint(t) for t in texts] == whole
+
+
 # -- toxicity
 
 
