@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skriva.llm import kernels as K
-from skriva.llm.support import cut, release, small_side
+from skriva.llm.support import cut, cut_by, release, small_side
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 WINDOW = MIN_WORDS - SHINGLE + 1  # in shingles
@@ -128,11 +128,11 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The words of every text, read once: (id, own, w)."""
+    """The words of every text, read once and dealt by id, so that they move no more than once: (id, own, w)."""
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise TypeError(f"{id_col}: ids must be whole numbers")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("t")).where("id is not null and t is not null")
-    return cut(rows.mapInArrow(_codes, _CODED))
+    return cut_by(rows.mapInArrow(_codes, _CODED), "id")
 
 
 def _spread(w: np.ndarray) -> np.ndarray:
@@ -461,20 +461,23 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
     A partner of very many is dealt into shares.
     """
-    heavy = cut(pairs.groupBy("partner").count().where(F.col("count") >= HEAVY).select(F.col("partner").alias("big"), F.ceil(F.col("count") / HEAVY).cast("int").alias("shares")))
-    heavy = small_side(heavy, 32)
+    heavy = small_side(cut(pairs.groupBy("partner").count().where(F.col("count") >= HEAVY).select(F.col("partner").alias("big"), F.ceil(F.col("count") / HEAVY).cast("int").alias("shares"))), 32)
     one = words.select(F.col("id").alias("i"), "own", F.col("w").alias("a"))
-    two = words.select(F.col("id").alias("i"), F.col("w").alias("b")).join(heavy, F.col("i") == F.col("big"), "left")
-    two = two.select("i", "b", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
-    dealt = pairs.join(heavy, pairs.partner == F.col("big"), "left").withColumn("of", F.pmod(F.xxhash64("id"), F.coalesce("shares", F.lit(1))).cast("int"))
-    held = dealt.join(one, F.col("id") == F.col("i")).select("id", "partner", "own", "keys", "of", "a")
-    both = held.join(two, (held.partner == two.i) & (held.of == two.share)).select("id", "partner", "own", "keys", "a", "b")
+    two = words.select(F.col("id").alias("j"), F.col("w").alias("b"))
+    held = pairs.join(heavy, pairs.partner == F.col("big"), "left").join(one, F.col("id") == F.col("i")).select("id", "partner", "own", "keys", "shares", "a")
+    light = held.where("shares is null").join(two, F.col("partner") == F.col("j"))
+    many = two.join(heavy, F.col("j") == F.col("big")).select("j", "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    dealt = held.where("shares is not null").withColumn("of", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
+    dealt = dealt.join(many, (dealt.partner == many.j) & (dealt.of == many.share))
+    columns = ("id", "partner", "own", "keys", "a", "b")
+    both = light.select(*columns).unionByName(dealt.select(*columns))
     return both.mapInArrow(_verify, f"id bigint, partner bigint, own bigint, passages {PASSAGE}, grams array<struct<key:bigint,missed:boolean>>")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, partner, passages, of_text): see the module's text."""
     words = coded(docs, id_col, text_col)
+    release(docs.sparkSession)
     hot, shares = hot_keys(words)
     star = _star(words.mapInArrow(lambda batches: _anchors(batches, hot, shares), _ANCHORS), salted=len(hot) > 0)
     pairs = star.groupBy("id", "partner").agg(F.collect_set("key").alias("keys"))

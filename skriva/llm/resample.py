@@ -43,8 +43,16 @@ PRIOR = 200_000
 _CLASS = np.array([0 if K.SPACE[c] else 1 if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 2 for c in range(256)], np.uint8)
 
 
-def grams(data: np.ndarray, off: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, text of each) of the unigrams and bigrams of texts i..j; a long text comes in pieces by itself."""
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    return K.mix(h[:-1] * np.uint64(3) + h[1:])
+
+
+def hashes(data: np.ndarray, off: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word or run of punctuation of texts i..j, text of each)."""
     lo, hi = int(off[i]), int(off[j])
     part = data[lo:hi]
     c = _CLASS[part]
@@ -56,25 +64,30 @@ def grams(data: np.ndarray, off: np.ndarray, i: int, j: int) -> tuple[np.ndarray
     end = np.append(edge[1:], len(c))
     word = c[edge] > 0
     s, e = edge[word], end[word]
-    h = K.hash_spans(part, s, e)
-    of = np.searchsorted(border, s, "right") - 1
-    two = K.mix(h[:-1] * np.uint64(3) + h[1:])[of[:-1] == of[1:]]
-    shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
-    return np.concatenate((h >> shift, two >> shift)).astype(np.int64), np.concatenate((of, of[:-1][of[:-1] == of[1:]]))
+    return K.hash_spans(part, s, e), np.searchsorted(border, s, "right") - 1
+
+
+def grams(data: np.ndarray, off: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, text of each) of the unigrams and bigrams of texts i..j."""
+    h, of = hashes(data, off, i, j)
+    same = of[:-1] == of[1:]
+    return np.concatenate((_bucket(h), _bucket(_pairs(h)[same]))), np.concatenate((of, of[:-1][same]))
 
 
 def pieces(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(i, j, buckets, text of each counted from i) over a buffer; texts over a block are cut at white space."""
+    """(i, j, buckets, text of each counted from i) over a buffer; a text over a block comes in pieces that end at white space."""
     for i, j in K.blocks(off):
         if j - i == 1 and off[j] - off[i] > K.BLOCK:
-            lo = int(off[i])
+            lo, before = int(off[i]), np.zeros(0, np.uint64)  # the last word, for the bigram over the border
             while lo < off[j]:
                 top = min(int(off[j]), lo + K.BLOCK)
-                gap = np.flatnonzero(K.SPACE[data[lo:top]])
-                if top < off[j] and len(gap):
-                    top = lo + int(gap[-1]) + 1
-                yield i, j, *grams(data, np.array([lo, top]), 0, 1)
-                lo = top
+                while top < off[j] and not K.SPACE[data[top - 1]]:
+                    gap = np.flatnonzero(K.SPACE[data[top : min(int(off[j]), top + K.BLOCK)]])
+                    top = top + int(gap[0]) + 1 if len(gap) else min(int(off[j]), top + K.BLOCK)
+                h, of = hashes(data, np.array([lo, top]), 0, 1)
+                b = np.concatenate((_bucket(h), _bucket(_pairs(np.concatenate((before, h))))))
+                yield i, j, b, np.zeros(len(b), np.int64)
+                lo, before = top, h[-1:] if len(h) else before
         else:
             yield i, j, *grams(data, off, i, j)
 

@@ -40,6 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """``cut``, dealt by ``key``, so that joins on it move the other side only.
+
+    A plan made adaptively does not tell how its result is dealt, so this step is made without.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of plans that were cut and that nothing holds any more.
 

@@ -377,6 +377,7 @@ def test_weights_are_likelihood_ratios(spark):
 def test_long_texts_are_weighed_whole(monkeypatch):
     text = " ".join(f"w{i % 97}," for i in range(5000))
     ratio = np.random.default_rng(0).normal(size=resample.BUCKETS)
+    monkeypatch.setattr(kernels, "BLOCK", 300)
     whole = resample.Model(ratio).weights(*kernels.utf8(pa.array([text, "a"])))
     tokens = re.findall(r"\w+|[^\w\s]+", text)
     h = {t: kernels.hash_spans(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]))[0] for t in set(tokens)}
