@@ -318,7 +318,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(sent.value)
         names = [*(f"c{k}" for k in range(len(carried))), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
-        for batch in batches:
+        for batch in K.slices(batches):
             column = batch.column(len(carried))
             counts, ids_sha, out_sha, flat = [], [], [], []
             for ids in bpe.encode_many([t or "" for t in column.to_pylist()]):

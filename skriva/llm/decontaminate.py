@@ -144,7 +144,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             items, key = sent.value
             words = _of(items, window, key)
-            for batch in batches:
+            for batch in K.slices(batches):
                 counts, ranges, ids, hits, spans = [], [], [], [], []
                 for text, r0, i0 in zip(K.texts(batch.column(text_at)), batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
                     total, found, of = scan(text, words)

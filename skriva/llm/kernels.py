@@ -64,6 +64,13 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that what is made of a batch's texts stays small."""
+    for batch in batches:
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)
+
+
 def blocks(off: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Ranges of documents with about ``size`` bytes together; a longer text stands alone."""
     i, n = 0, len(off) - 1

@@ -384,7 +384,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     MIN_WORDS words around it word for word, and whether some of these lie in no passage.
     """
     side = _Side(b"")
-    for batch in batches:
+    for batch in K.slices(batches):
         found: list[tuple] = []
         sizes, grams, missed, gram_sizes = [], [], [], []
         for keys, a, b in zip(batch.column(3), batch.column(4), batch.column(5), strict=True):
@@ -510,7 +510,7 @@ def cut_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.slices(batches):
             texts, spans = batch.column(place), batch.column(batch.num_columns - 1)
             if spans.null_count < len(spans):
                 new, stay = texts.to_pylist(), np.ones(len(texts), bool)

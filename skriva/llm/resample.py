@@ -155,7 +155,7 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in K.slices(batches):
             size = batch.num_rows
             w = m.weights(*K.utf8(batch.column(n))) if m and size else np.zeros(size)
             key = w + gumbel(batch.column(0).to_pylist(), seed) if size else w
@@ -203,7 +203,7 @@ def draw(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in K.slices(batches):
             if m and batch.num_rows:
                 key = m.weights(*K.utf8(batch.column(text_at))) + gumbel(batch.column(id_at).to_pylist(), seed)
                 batch = batch.filter(pa.array(key >= least))
