@@ -42,7 +42,7 @@ from skriva.llm import kernels as K
 
 LEAF = 1 << 15
 #: Bytes below which a part of a match is merged directly; entries that the memories hold.
-PART, MEMORY = 8, 250_000
+PART, MEMORY = 8, 120_000
 _BIG = 1 << 60
 
 #: The characters of Unicode's White_Space property.
