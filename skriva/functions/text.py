@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 MARKS = "、。，．,.!?！？…・「」『』（）()\\[\\]〈〉《》：:;；\\-~〜?"
 _DROP = f"(?U)[\\s{MARKS}]+"
 _SPACE_OUT = f'[{MARKS}"]+'
-#: A line that only names a speaker; a timing line of a subtitle file.
+#: A line that only names a speaker; a timing line of a subtitle file; a word.
 SPEAKER = r"(?U)^\s*[A-Za-z][A-Za-z0-9_ .'-]{0,30}:\s*$"
 TIMING = r"^\d{2}:\d{2}:\d{2},\d{3} --> \d{2}:\d{2}:\d{2},\d{3}"
 WORD = r"(?U)[^\W_]+(?:'[^\W_]+)?"

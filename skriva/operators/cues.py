@@ -148,9 +148,9 @@ def end_clamp(start: Column, end: Column, least: float = 0.05) -> Column:
 
 
 def chunk_texts(tokens: DataFrame, by: str = "file_id", piece: str = "bytes") -> DataFrame:
-    """(by, chunk_idx, text): a chunk's bytes are put together before they are decoded."""
+    """(by, chunk_idx, text): a chunk's bytes are put together before they are decoded; what is no character becomes U+FFFD."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.hex(piece).alias("h")))), lambda s: s["h"])
-    return tokens.groupBy(by, "chunk_idx").agg(F.decode(F.unhex(F.array_join(parts, "")), "UTF-8").alias("text"))
+    return tokens.groupBy(by, "chunk_idx").agg(F.make_valid_utf8(F.unhex(F.array_join(parts, "")).cast("string")).alias("text"))
 
 
 def transcript(chunks: DataFrame, by: str = "file_id", sep: str = "") -> DataFrame:

@@ -5,6 +5,9 @@ None of them compares every row with every row.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,9 +23,12 @@ def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: lis
     r = right.select(F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), *by, F.col(right_on).cast("double").alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_v"))
     order = Window.partitionBy(*by).orderBy("_t", "_side")
     rows = l.unionByName(r).withColumn("_last", F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    if first_if_before:
-        rows = rows.withColumn("_last", F.coalesce("_last", F.first("_v", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))))
-    return rows.where("_side = 1").select("_l.*", *(F.col(f"_last.{v}").alias(v) for v in values))
+    rows = rows.where("_side = 1")
+    if first_if_before:  # one row a key: the first of the right side
+        first = r.groupBy(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by))).agg(F.min_by("_v", "_t").alias("_first"))
+        same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)))
+        rows = rows.join(first, same, "left").withColumn("_last", F.coalesce("_last", "_first"))
+    return rows.select("_l.*", *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
 def band(left: DataFrame, right: DataFrame, left_on: str, right_on: str, tol: float, by: list[str]) -> DataFrame:

@@ -61,6 +61,16 @@ def prompts(terms: DataFrame, by: str, term: str, order: str) -> DataFrame:
     return lists.select(by, F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), v.alias("prompt")) for k, v in variants))).alias("v")).select(by, "v.*")
 
 
+def prompt_contents(rows: DataFrame, by: str, terms: Column, topic: Column, hint: Column, sep: str = ", ") -> DataFrame:
+    """(by, variant, prompt): no prompt at all, once for each ``by``, and what terms, topic and a language hint give; what is empty is left out."""
+    listed = F.when(F.size(terms) > 0, F.array_join(terms, sep))
+    filled = lambda c: F.when(F.length(c) > 0, c)
+    with_terms = lambda c: F.concat(filled(c), F.lit(" "), listed)
+    variants = {"none": F.lit(""), "terms": listed, "topic": filled(topic), "topic_terms": with_terms(topic), "hint_terms": with_terms(hint)}
+    each = F.array(*(F.struct(F.lit(k).alias("variant"), v.alias("prompt")) for k, v in variants.items()))
+    return rows.select(by, F.explode(F.filter(each, lambda v: v["prompt"].isNotNull())).alias("v")).select(by, "v.*")
+
+
 def prompt_fit(tokens: Column, capacity: int) -> Column:
     return F.struct(F.least(tokens, F.lit(capacity)).alias("kept"), (tokens > capacity).alias("truncated"))
 

@@ -53,9 +53,13 @@ def txt_format(spark, d):
     return C.txt(_cues(spark, d)).select("file_id", F.md5("document").alias("digest"))
 
 
-@query()
+@query(_CUES + " select file_id, md5(string_agg(text, '' order by cue_idx)) as said, count(*) as segments, round(sum(round_even(start_s*1000, 0)/1000), 2) as starts, round(max(round_even(end_s*1000, 0)/1000), 3) as ends, md5(string_agg(text, '|' order by cue_idx)) as texts from cues group by file_id")
 def cue_json(spark, d):
-    return C.json_document(_cues(spark, d))
+    """The JSON documents, read again."""
+    shape = "struct<text:string,segments:array<struct<id:int,start:double,end:double,text:string>>>"
+    j = C.json_document(_cues(spark, d)).select("file_id", F.from_json("document", shape).alias("j"))
+    total = F.aggregate("j.segments", F.lit(0.0), lambda a, s: a + s["start"])
+    return j.select("file_id", F.md5("j.text").alias("said"), F.size("j.segments").cast("bigint").alias("segments"), F.round(total, 2).alias("starts"), F.round(F.array_max("j.segments.end"), 3).alias("ends"), F.md5(F.array_join("j.segments.text", "|")).alias("texts"))
 
 
 @query(_CUES + f" select file_id, cue_idx, coalesce({_WRAP}, '') as wrapped from cues")
@@ -164,9 +168,22 @@ def break_candidates(spark, d):
     return got.select("file_id", F.round("h", 6).alias("h"), F.round("r", 6).alias("r"))
 
 
-@query()
+@query(
+    _BOTH.replace("with c as", "with recursive c as", 1)
+    + """ , p as (select distinct file_id, h.end_s as h, cues.end_s as r from h join cues using (file_id) where abs(h.end_s - cues.end_s) <= 0.5),
+    g as (select distinct file_id, 0 as n, []::double[] as hs, []::double[] as rs from cues
+     union all select file_id, n + 1, list_append(hs, b.h), list_append(rs, b.r) from (select g.file_id, g.n, g.hs, g.rs, min_by({'h': p.h, 'r': p.r}, {'gap': abs(p.h - p.r), 'h': p.h, 'r': p.r}) as b
+     from g join p on p.file_id = g.file_id where not list_contains(g.hs, p.h) and not list_contains(g.rs, p.r) group by all)),
+    tp as (select file_id, max(n) as tp from g group by 1),
+    mid as (select x.file_id, count(*) as mid from h x asof join cues c on x.file_id = c.file_id and x.end_s >= c.start_s where c.start_s + 0.5 < x.end_s and x.end_s < c.end_s - 0.5 group by 1),
+    s as (select file_id, count(*) as n, median(end_s - start_s) as dur from cues group by 1), t as (select file_id, count(*) as n, median(end_s - start_s) as dur from h group by 1)
+    select file_id, s.n as ref_cues, t.n as hyp_cues, tp::bigint as tp, round(tp/t.n, 6) as boundary_precision, round(tp/s.n, 6) as boundary_recall, round(case when tp > 0 then 2*(tp/t.n)*(tp/s.n)/(tp/t.n + tp/s.n) else 0 end, 6) as break_f1,
+    round(coalesce(mid, 0)/t.n, 6) as mid_phrase_rate, round(s.dur, 6) as ref_median_dur_s, round(t.dur, 6) as hyp_median_dur_s from s join t using (file_id) join tp using (file_id) left join mid using (file_id)"""
+)
 def break_f1(spark, d):
-    return T.break_stats(_cues(spark, d), _hyp(spark, d))
+    got = T.break_stats(_cues(spark, d), _hyp(spark, d))
+    counts = ("file_id", "ref_cues", "hyp_cues", "tp")
+    return got.select(*counts, *(F.round(c, 6).alias(c) for c in got.columns if c not in counts))
 
 
 @query(_BOTH + " select h.file_id, round(h.end_s, 6) as h, round(c.start_s, 6) as start_s from h asof join cues c on h.file_id = c.file_id and h.end_s >= c.start_s where c.start_s + 0.25 < h.end_s and h.end_s < c.end_s - 0.25")
@@ -184,7 +201,12 @@ def timing_summary(spark, d):
     return rows.agg(T.upper_median(F.collect_list("value")).alias("upper_median"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max(F.abs(F.coalesce(F.col("value") - 50, F.lit(0.0)))), 6).alias("steepest"))
 
 
-@query()
+@query(
+    _CUES
+    + """, l as (select file_id, greatest(ceil(max(start_s)/30), 1)*30 as last from cues group by 1),
+    z as (select case when least(floor(start_s/30)*30, last) >= 30 and start_s - least(floor(start_s/30)*30, last) < 3 then 'after' when greatest(ceil(start_s/30)*30, 30) <= last and greatest(ceil(start_s/30)*30, 30) - start_s < 3 then 'before' else 'elsewhere' end as zone
+    from cues join l using (file_id)) select zone, count(*) as edits, round(count(*)/sum(count(*)) over (), 6) as share from z group by zone"""
+)
 def seam_enrichment(spark, d):
     """Shares of cue starts after, before and away from seams at every 30 s."""
     cues = _cues(spark, d).withColumn("t_s", F.col("start_s"))

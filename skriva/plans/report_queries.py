@@ -86,7 +86,11 @@ def prompt_fit(spark, d):
     return rows.select("c_custkey", S.prompt_fit(F.col("n"), 5000).alias("p")).select("c_custkey", F.round("p.kept", 2).alias("kept"), "p.truncated")
 
 
-@query()
+@query(
+    """with t as (select p_brand, list(p_name order by p_partkey) as t from part group by 1)
+    select p_brand, unnest(['comma', 'ideographic', 'space', 'newline', 'semicolon', 'reversed', 'last3']) as variant,
+    unnest([array_to_string(t, ', '), array_to_string(t, '、'), array_to_string(t, ' '), array_to_string(t, chr(10)), array_to_string(t, '; '), array_to_string(list_reverse(t), ', '), array_to_string(t[-3:], ', ')]) as prompt from t"""
+)
 def prompt_variants(spark, d):
     terms = read(spark, d, "part").select("p_brand", "p_name", "p_partkey")
     return S.prompts(terms, "p_brand", "p_name", "p_partkey")

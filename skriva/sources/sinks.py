@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +21,33 @@ def write_documents(cues: DataFrame, path: str, fmt: str = "all", by: str = "fil
     return [f"{path}/{f}" for f in formats]
 
 
-def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A small result as a table, a blank line after it; ``limit`` rows are collected at most."""
-    got = rows.limit(limit).collect()
+def markdown(rows: DataFrame, most: int = 100_000) -> str:
+    """A result as a table, a blank line after it.  It is made on the driver: more than ``most`` rows raise an error."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows: write them with a sink, or raise most")
     line = lambda cells: "| " + " | ".join("-" if c is None else str(c) for c in cells) + " |"
     return "\n".join([line(rows.columns), line(["---"] * len(rows.columns)), *map(line, got)]) + "\n\n"
+
+
+def write_run(results: DataFrame, path: str, header: dict, truncated: str = "truncated", looped: str = "looped", key: str = "file") -> dict:
+    """Add a run's result rows under ``path``/results and write its header beside them.
+
+    A file that has a row there already is left as it is, so a run that was cut short goes on
+    where it ended.  The header gets files_scored, complete and the files that were truncated
+    or looped, ten of each by name.
+    """
+    spark = results.sparkSession
+    try:
+        done = spark.read.schema(results.schema).json(f"{path}/results")
+        done.limit(1).collect()
+        new = results.join(done.select(key).distinct(), key, "left_anti").select(*results.columns)
+    except AnalysisException:
+        new = results
+    new.write.mode("append").json(f"{path}/results")
+    whole = spark.read.schema(results.schema).json(f"{path}/results")
+    named = lambda flag: [r[0] for r in whole.where(F.col(flag)).orderBy(key).select(key).limit(10).collect()] if flag in whole.columns else []
+    n = whole.select(key).distinct().count()
+    header = header | {"files_scored": n, "complete": n >= header.get("files_expected", n), "truncated": named(truncated), "looped": named(looped)}
+    spark.createDataFrame([(json.dumps(header, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    return header

@@ -317,6 +317,50 @@ def test_wav_rows(spark, tmp_path):
     assert got["b.wav"].error
 
 
+def test_the_script_is_one_whatever_is_kept_of_the_table(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("aab") for _ in range(rng.randint(0, 40))) for _ in range(2))
+        found = []
+        for cells in (1, 30, 400, 4_000_000):
+            monkeypatch.setattr(align, "CELLS", cells)
+            found.append(align.opcodes(a, b))
+        assert all(f == found[0] for f in found)
+
+
+def test_asof_before_the_first(spark):
+    left = spark.createDataFrame([("x", 1.0), ("x", 5.0), ("y", 1.0), (None, 2.0), (None, 9.0)], "k string, t double")
+    right = spark.createDataFrame([("x", 3.0, "a"), ("x", 4.0, "b"), (None, 8.0, "c")], "k string, at double, v string")
+    got = joins.asof(left, right, "t", "at", ["k"], ["v"], first_if_before=True).collect()
+    assert sorted(map(str, ((r.k, r.t, r.v) for r in got))) == sorted(map(str, [("x", 1.0, "a"), ("x", 5.0, "b"), ("y", 1.0, None), (None, 2.0, "c"), (None, 9.0, "c")]))
+
+
+def test_runs_go_on_where_they_ended(spark, tmp_path):
+    rows = lambda *names: spark.createDataFrame([(n, 0.1, n == "b", None) for n in names], "file string, error double, truncated boolean, looped boolean")
+    path = str(tmp_path / "run")
+    first = sinks.write_run(rows("a", "b"), path, {"label": "x", "files_expected": 3})
+    assert (first["files_scored"], first["complete"], first["truncated"], first["looped"]) == (2, False, ["b"], [])
+    last = sinks.write_run(rows("b", "c"), path, {"label": "x", "files_expected": 3})
+    assert (last["files_scored"], last["complete"]) == (3, True)
+    assert sorted(r.file for r in spark.read.json(f"{path}/results").collect()) == ["a", "b", "c"]
+    assert json.loads(spark.read.text(f"{path}/header").first().value) == last
+
+
+def test_a_cut_character_becomes_a_mark(spark):
+    tokens = spark.createDataFrame([("f", 0, 0, bytes([0xE3, 0x81])), ("f", 0, 1, b"a"), ("f", 1, 0, "あ".encode())], "file_id string, chunk_idx int, pos int, bytes binary")
+    got = {r.chunk_idx: r.text for r in cues.chunk_texts(tokens).collect()}
+    assert got == {0: "\ufffda", 1: "あ"}
+
+
+def test_forgiven_and_excused_lists(spark):
+    pairs = spark.createDataFrame([(1, "カタカナです", "かたかなです"), (2, "カタですがそれから", "かたですがそれから" + "x" * 40)], "k int, ref string, hyp string")
+    got = [(r.ref, r.hyp, r.edits, r.times) for r in align.top_forgiven(align.supplementary(pairs)).collect()]
+    assert got == [("カタカナ", "かたかな", 4, 1), ("カタ", "かた", 2, 1)]
+    scored = align.score_pairs(pairs, unit="char")
+    (r,) = align.top_excused(scored, "k", F.split("hyp", "")).collect()
+    assert (r.k, r.pos, r.len, r.said) == (2, 9, 40, "x" * 40)
+
+
 def test_model_seam(spark):
     chunks = spark.createDataFrame([("f", 0, [0.5] * 64, 100, 0), ("f", 1, [0.5] * 64, 100, 2), ("g", 0, [0.0] * 64, 100, 0)], "file_id string, chunk_idx int, samples array<double>, sample_rate int, warmup_tokens int")
     got = seam.transcribe(chunks).collect()
@@ -327,5 +371,7 @@ def test_model_seam(spark):
 def test_markdown_and_prompts(spark):
     rows = spark.createDataFrame([("a", 1), ("b", None)], "k string, v int")
     assert sinks.markdown(rows) == "| k | v |\n| --- | --- |\n| a | 1 |\n| b | - |\n\n"
+    with pytest.raises(ValueError):
+        sinks.markdown(rows, most=1)
     ids = spark.createDataFrame([([1, 2, 3, 4],), ([],)], "e array<int>").select(sweeps.prompt_ids(9, 0, F.lit(2), F.col("e"), 3)).collect()
     assert [r[0] for r in ids] == [[9, 2, 3, 4, 0, 0], [9, 0, 0]]

@@ -26,3 +26,17 @@ def test_files_are_scored(spark, tmp_path, capsys):
     with pytest.raises(SystemExit) as usage:
         main(["timing", str(tmp_path / "r.txt"), str(tmp_path / "h.srt")])
     assert usage.value.code == 2
+
+
+def test_every_scorer_has_a_command(spark, tmp_path, capsys):
+    (tmp_path / "r.txt").write_text("カタカナで1500です")
+    (tmp_path / "h.txt").write_text("かたかなで1500でず")
+    assert set(scorers.SCORERS) == set(scorers.METRICS)
+    printed = {}
+    for metric in ("cer", "kana", "coverage_kana", "lenient"):
+        assert main([metric, str(tmp_path / "r.txt"), str(tmp_path / "h.txt")]) == 0
+        printed[metric] = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert printed["cer"] == {"unit": "char", "ref_units": 11, "hyp_units": 11, "error": 5 / 11}
+    assert 0 < printed["kana"]["kana_cer"] < 0.1
+    assert printed["coverage_kana"]["kana_excused"] == 0
+    assert printed["lenient"]["forgiven"] == 4
