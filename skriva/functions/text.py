@@ -25,10 +25,15 @@ CJK = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def nfkc(s: Column) -> Column:
+    """Compatibility composition; texts of ASCII alone are that already and do not leave the JVM."""
+    return F.coalesce(_nfkc(F.when(s.rlike(r"[^\x00-\x7F]"), s)), s)
+
+
 def drop_marks(s: Column) -> Column:
     """Without punctuation and white space; the case and the long-vowel mark stay."""
     return F.regexp_replace(s, _DROP, "")

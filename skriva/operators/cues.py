@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,15 +80,35 @@ def cues_of(pieces: Iterable[tuple[bytes, float]], layout: Layout = Layout()) ->
 
 
 def build(tokens: DataFrame, layout: Layout = Layout(), by: str = "file_id", order: tuple[str, ...] = ("chunk_idx", "pos"), piece: str = "bytes", at: str = "t_s") -> DataFrame:
-    """(by, cue_idx, start_s, end_s, text) of every file."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        rows = [(pdf[by].iloc[0], k, *c) for k, c in enumerate(cues_of(zip(pdf[piece], pdf[at], strict=True), layout))]
-        return pd.DataFrame(rows, columns=[by, "cue_idx", "start_s", "end_s", "text"])
+    """(by, cue_idx, start_s, end_s, text) of every file.
+
+    Tokens stream by in order, file after file; no file is held as a whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, key, machine, n = [by, "cue_idx", "start_s", "end_s", "text"], None, None, 0
+        for batch in batches:
+            rows: list[tuple] = []
+            for file, raw, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if machine is None or file != key:
+                    if machine is not None and machine.held:
+                        rows += [(key, n + k, *c) for k, c in enumerate(machine.flush())]
+                    key, machine, n = file, Builder(layout), 0
+                for c in machine.feed(bytes(raw), float(t)):
+                    rows.append((key, n, *c))
+                    n += 1
+            yield _rows(rows, names, batch.column(0).type)
+        if machine is not None and machine.held:
+            yield _rows([(key, n + k, *c) for k, c in enumerate(machine.flush())], names, batch.column(0).type)
 
     kind = tokens.schema[by].dataType.simpleString()
-    return tokens.select(by, *order, piece, at).groupBy(by).applyInPandas(one, f"{by} {kind}, cue_idx int, start_s double, end_s double, text string")
+    lined = tokens.select(by, piece, F.col(at).cast("double"), *order).repartition(by).sortWithinPartitions(by, *order)
+    return lined.select(by, piece, at).mapInArrow(run, f"{by} {kind}, cue_idx int, start_s double, end_s double, text string")
+
+
+def _rows(rows: list[tuple], names: list[str], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = (kind, pa.int32(), pa.float64(), pa.float64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
 def sessions(rows: DataFrame, by: str, at: str, gap_s: float = 1.2) -> DataFrame:

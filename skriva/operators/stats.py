@@ -54,7 +54,8 @@ def bootstrap(pairs: DataFrame, unit: str, order: list[str], n_boot: int, seed:
     """(unit, boot_id, diff): length-weighted difference of both arms over files drawn with replacement.
 
     ``pairs`` has weight, ea, eb.  The files of a unit are numbered; draws meet them by an
-    equi-join on (unit, number).
+    equi-join on (unit, number).  Exact draws for up to some thousand files a unit, which are
+    numbered in one task; ``poisson_bootstrap`` takes any number.
     """
     spark = pairs.sparkSession
     numbered = pairs.withColumn("_i", (F.row_number().over(Window.partitionBy(unit).orderBy(*order)) - 1).cast("bigint"))
@@ -65,6 +66,24 @@ def bootstrap(pairs: DataFrame, unit: str, order: list[str], n_boot: int, seed:
     return rows.groupBy(unit, "boot_id").agg((weighted_rate(F.col("ea"), F.col("weight")) - weighted_rate(F.col("eb"), F.col("weight"))).alias("diff"))
 
 
+#: How often a file is drawn in a Poisson resample: the distribution function of a rate of one.
+_POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020, 0.9999998885745217]
+
+
+def poisson_bootstrap(pairs: DataFrame, unit: str, ids: list[str], n_boot: int, seed: int = 0) -> DataFrame:
+    """(unit, boot_id, diff): ``bootstrap`` for corpora of any size.
+
+    Each file draws by itself how often it is in a resample (a rate of one), so files need
+    no numbers, nothing is joined, and rows are summed up before they move.
+    """
+    boots = pairs.withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("boot_id").cast("string"), *(F.col(c).cast("string") for c in ids))
+    u = (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") + 0.5) / F.lit(float(1 << 32))
+    times = sum((F.when(u >= p, 1).otherwise(0) for p in _POISSON[1:]), F.when(u >= _POISSON[0], 1).otherwise(0))
+    rows = boots.withColumn("_w", times * F.col("weight")).where("_w > 0")
+    return rows.groupBy(unit, "boot_id").agg((weighted_rate(F.col("ea"), F.col("_w")) - weighted_rate(F.col("eb"), F.col("_w"))).alias("diff"))
+
+
 def interval(draws: DataFrame, by: str, value: str = "diff") -> DataFrame:
     """Percentile interval (interpolated) and the share of draws over zero."""
     return draws.groupBy(by).agg(F.expr(f"percentile({value}, 0.025)").alias("lo"), F.expr(f"percentile({value}, 0.975)").alias("hi"), F.avg((F.col(value) > 0).cast("double")).alias("favour"))

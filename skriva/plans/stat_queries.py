@@ -114,7 +114,7 @@ def sign_test(spark, d):
     return w.select("key", "wins_a", "wins_b", F.round(S.sign_test_p("wins_a", "wins_b"), 9).alias("p"))
 
 
-N_BOOT = 100
+N_BOOT, N_BLOCK_BOOT = 100, 400
 _BOOT = f"""{PAIRS}, f as (select *, row_number() over (partition by unit order by dur) - 1 as i, count(*) over (partition by unit) as n from pairs),
 draws as (select unit, boot_id, ('0x' || substr(md5('0:' || boot_id || ':' || slot), 1, 8))::bigint % n as i from (select distinct unit, n from f) s, range({N_BOOT}) b(boot_id), lateral (select unnest(range(n)) as slot)),
 boot as (select d.unit, d.boot_id, sum(ea*weight)/sum(weight) - sum(eb*weight)/sum(weight) as diff from draws d join f on f.unit = d.unit and f.i = d.i group by all)"""
@@ -126,6 +126,20 @@ def bootstrap_ci(spark, d):
     return got.select("unit", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
+_TIMES = " + ".join(f"(u >= {p!r})::int" for p in S._POISSON)
+
+
+@query(
+    PAIRS
+    + f""", u as (select pairs.*, boot_id, (('0x' || substr(md5('0:' || boot_id || ':' || dur || ':' || unit), 1, 8))::bigint + 0.5)::double/4294967296.0::double as u from pairs, range({N_BOOT}) b(boot_id)),
+    w as (select *, ({_TIMES})*weight as w from u), boot as (select unit, boot_id, sum(ea*w)/sum(w) - sum(eb*w)/sum(w) as diff from w where w > 0 group by all)
+    select unit, round(quantile_cont(diff, 0.025), 6) as lo, round(quantile_cont(diff, 0.975), 6) as hi from boot group by unit"""
+)
+def poisson_ci(spark, d):
+    got = S.interval(S.poisson_bootstrap(_pairs(spark, d), "unit", ["dur", "unit"], N_BOOT), "unit")
+    return got.select("unit", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
 @query(_BOOT + " select unit, round(avg((diff > 0)::int), 6) as favour from boot group by unit")
 def favour_share(spark, d):
     return S.interval(S.bootstrap(_pairs(spark, d), "unit", ["dur"], N_BOOT), "unit").select("unit", F.round("favour", 6).alias("favour"))
@@ -134,7 +148,7 @@ def favour_share(spark, d):
 @query(
     f"""with e as (select event_type as key, row_number() over (partition by event_type order by event_id) - 1 as pos, (value > 50)::int as err from events),
     s as (select key, pos, sum(err) over (partition by key order by pos) as total from e), n as (select key, count(*) as n, count(*)//200 as k from e group by key),
-    d as (select key, k, boot_id, ('0x' || substr(md5('0:' || boot_id || ':' || slot), 1, 8))::bigint % (n - 200) as s from n, range({N_BOOT}) b(boot_id), lateral (select unnest(range(k)) as slot) where n >= 400),
+    d as (select key, k, boot_id, ('0x' || substr(md5('0:' || boot_id || ':' || slot), 1, 8))::bigint % (n - 200) as s from n, range({N_BLOCK_BOOT}) b(boot_id), lateral (select unnest(range(k)) as slot) where n >= 400),
     r as (select d.key, boot_id, sum(x.total - coalesce(y.total, 0)) / (max(k)*200.0) as rate from d join s x on x.key = d.key and x.pos = d.s + 199 left join s y on y.key = d.key and y.pos = d.s - 1 group by all)
     select n.key, round(quantile_cont(rate, 0.025), 6) as lo, round(quantile_cont(rate, 0.975), 6) as hi from n left join r using (key) group by n.key"""
 )
@@ -143,7 +157,7 @@ def block_bootstrap(spark, d):
 
     line = Window.partitionBy("event_type").orderBy("event_id")
     rows = read(spark, d, "events").select(F.col("event_type").alias("key"), (F.row_number().over(line) - 1).alias("pos"), (F.col("value") > 50).cast("int").alias("err"))
-    got = S.block_bootstrap(rows, "key", "pos", "err", N_BOOT)
+    got = S.block_bootstrap(rows, "key", "pos", "err", N_BLOCK_BOOT)
     return got.select("key", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 

@@ -1,4 +1,4 @@
-"""Text normalisation.  SQL compares on the ASCII part of whole texts; Unicode is tested on fixtures."""
+"""Text normalisation of whole texts.  Where SQL counts bytes it compares on their ASCII part."""
 
 from __future__ import annotations
 
@@ -10,28 +10,24 @@ from skriva.plans.cue_queries import _DROP
 from skriva.plans.registered import query, read
 
 _ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')"
-_DOCS = f"with t as (select doc_id, {_ASCII} as text from documents)"
+_DOCS = "with t as (select doc_id, nfc_normalize(text) as text from documents)"
 _SPACED = "regexp_replace(regexp_replace(text, '[、。，．,.!?！？…・「」『』（）()\\[\\]〈〉《》：:;；\\-~〜?\"]+', ' ', 'g'), '\\s+', ' ', 'g')"
 
 
-def _docs(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text"))
-
-
 @query(_DOCS + f" select doc_id, md5({_DROP}) as digest from t")
 def normalize_chars(spark, d):
-    return _docs(spark, d).select("doc_id", F.md5(X.normalize_chars(F.col("text"))).alias("digest"))
+    return read(spark, d, "documents").select("doc_id", F.md5(X.normalize_chars(F.col("text"))).alias("digest"))
 
 
 @query(_DOCS + f" select doc_id, md5(lower(trim({_SPACED}))) as digest from t")
 def normalize_words(spark, d):
-    return _docs(spark, d).select("doc_id", F.md5(X.normalize_words(F.col("text"))).alias("digest"))
+    return read(spark, d, "documents").select("doc_id", F.md5(X.normalize_words(F.col("text"))).alias("digest"))
 
 
-@query(_DOCS + f", w as (select doc_id, regexp_extract_all(lower(trim({_SPACED})), '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?') as w from t) select doc_id, len(w)::bigint as n, md5(coalesce(list_aggregate(w, 'string_agg', ' '), '')) as digest from w")
+@query(_DOCS + f", w as (select doc_id, regexp_extract_all(lower(trim({_SPACED})), '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)?') as w from t) select doc_id, len(w)::bigint as n, md5(coalesce(list_aggregate(w, 'string_agg', ' '), '')) as digest from w")
 def tokenize(spark, d):
     w = X.tokenize(F.col("text"))
-    return _docs(spark, d).select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("bigint").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
+    return read(spark, d, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("bigint").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
 @query("select doc_id, case when length(text) > 0 and length(regexp_replace(substr(text, 1, 4000), '[^\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}]', '', 'g'))/length(substr(text, 1, 4000)) < 0.15 then 'word' else 'char' end as unit from documents")
