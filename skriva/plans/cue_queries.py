@@ -11,8 +11,8 @@ from skriva.operators import timing as T
 from skriva.plans.registered import query, read
 from skriva.sources import transcripts as R
 
-#: Cues of every conversation, with ASCII one-line texts where a byte-based engine is compared.
-_CUES = """with c as (select conv_id as file_id, turn as cue_idx, trim(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g')) as text, length(text) as n from conversations),
+#: Cues of every conversation, with one-line texts.
+_CUES = """with c as (select conv_id as file_id, turn as cue_idx, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, length(text) as n from conversations),
 cues as (select file_id, cue_idx, text, coalesce(sum(n) over (partition by file_id order by cue_idx rows between unbounded preceding and 1 preceding), 0)/15.0::double as start_s,
  sum(n) over (partition by file_id order by cue_idx)/15.0::double as end_s from c)"""
 
@@ -21,7 +21,7 @@ def _cues(spark, d):
     line = Window.partitionBy("file_id").orderBy("cue_idx")
     rows = read(spark, d, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("cue_idx"), "text", F.length("text").alias("n"))
     rows = rows.withColumn("start_s", F.coalesce(F.sum("n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / F.lit(15.0)).withColumn("end_s", F.sum("n").over(line) / F.lit(15.0))
-    said = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^\x00-\x7F]", ""), r"\s+", " "))
+    said = F.trim(F.regexp_replace("text", r"\s+", " "))
     return rows.select("file_id", "cue_idx", said.alias("text"), "start_s", "end_s")
 
 

@@ -15,12 +15,10 @@ def _pairs(spark, d):
     return t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp")), ["conv_id", "turn"])
 
 
-#: The ASCII part of a text without marks and white space.
-_PLAIN = _DROP.replace("(text,", "(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'),")
 _COLUMNS = ("conv_id", "turn", "unit", "ref_units", "hyp_units", "coverage", "error_rate", "coverage_error", "subs", "dels", "insertions_counted", "insertions_excused")
 
 
-_COPIES = f"""with t as (select conv_id, turn, {_PLAIN} as s from conversations), p as (select *, length(s) as n, (turn*7 + 5 + conv_id) % 60 as more, least(length(s), (turn*3 + conv_id) % 20) as less from t)"""
+_COPIES = f"""with t as (select conv_id, turn, {_DROP} as s from conversations), p as (select *, length(s) as n, (turn*7 + 5 + conv_id) % 60 as more, least(length(s), (turn*3 + conv_id) % 20) as less from t)"""
 
 
 @query(
@@ -31,7 +29,7 @@ _COPIES = f"""with t as (select conv_id, turn, {_PLAIN} as s from conversations)
 )
 def coverage_score(spark, d):
     """Copies of a text with foreign characters put into the middle, or without the end: whatever the path, the counts are the same."""
-    t = read(spark, d, "conversations").select("conv_id", "turn", X.normalize_chars(F.regexp_replace("text", r"[^\x00-\x7F]", "")).alias("ref"))
+    t = read(spark, d, "conversations").select("conv_id", "turn", X.normalize_chars(F.col("text")).alias("ref"))
     n, more = F.length("ref"), ((F.col("turn") * 7 + 5 + F.col("conv_id")) % 60).cast("int")
     half = F.floor(n / 2).cast("int")
     less = F.least(n, ((F.col("turn") * 3 + F.col("conv_id")) % 20).cast("int"))
