@@ -487,8 +487,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     release(docs.sparkSession)
     # keys at which two documents or more have something that the head has not
     grams = first.select("id", "partner", F.explode("grams").alias("g")).select("id", "partner", "g.key", "g.missed")
-    apart = grams.groupBy("key").agg(F.max("missed").alias("near"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "near")
-    members = grams.drop("missed").join(apart, "key").select(F.explode(F.array("id", "partner")).alias("i"), "key", F.when(F.col("near"), F.col("key")).alias("near"))
+    apart = grams.groupBy("key").agg(F.max("missed").alias("near"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("key").alias("k"), "near")
+    apart = small_side(cut(apart), 24)
+    members = grams.drop("missed").join(apart, F.col("key") == F.col("k")).select(F.explode(F.array("id", "partner")).alias("i"), "key", F.when(F.col("near"), F.col("key")).alias("near"))
     members = members.groupBy("i").agg(F.collect_set("key").alias("keys"), F.collect_set("near").alias("near"))
     filed = cut(words.join(members, F.col("id") == F.col("i")).select("id", "w", F.col("keys").alias("grams"), "near").mapInArrow(_again, _ANCHORS))
     release(docs.sparkSession)
