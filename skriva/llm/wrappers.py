@@ -71,9 +71,9 @@ CONTAINERS = frozenset("article aside blockquote center details div dl fieldset
 OUT_TAGS = frozenset("nav footer aside form head title button select dialog menu search".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 OUT_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion recommended recommendations related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar trending widget widgets".split()
 )
-FORM_WORDS = frozenset("area article articles bar block bottom box buttons container content footer form global group header icons inner item items left links list main media outer page panel post posts primary rail right secondary section signup site slot stories thread top unit wrap wrapper".split())
+FORM_WORDS = frozenset("area article articles bar block body bottom box buttons card cards col column container content desktop fixed floating footer form global grid group header icon icons info inner item items left links list main media mobile outer overlay page panel post posts primary rail reader readers right row secondary section signup site slot sticky stories strip thread title top unit user users visitor wrap wrapper".split())
 OUT_ARTICLES = frozenset("ad advert advertisement comment comments reply sponsored".split())
 #: Elements that no class name leaves out.
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p li".split())

@@ -155,3 +155,16 @@ def test_long_and_broken_pages_take_linear_time():
         wrappers.extract("<p>seen" + part * 100_000)
     assert len(wrappers.extract("<p>" + "word " * 500_000)) == 2_499_999
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "user-comments", "ad-slot-12", "site-footer", "related-posts", "newsletter-signup", "social share", "sidebar_widget", "Comments", "promo-card"])
+@pytest.mark.parametrize("mark", ["class", "id"])
+def test_named_parts_are_left_out(name, mark):
+    html = f"<body><main><div class=story><h1>T</h1><p>one</p><div {mark}='{name}'><p>away</p><ul><li>away</ul></div><p>two</p></div></main></body>"
+    assert wrappers.extract(html) == "T\none\ntwo"
+
+
+@pytest.mark.parametrize("name", ["related-work", "social-impact", "share-of-income", "comment-on-law", "navigation-at-sea", "story", "advertising-history"])
+def test_parts_of_the_article_are_not(name):
+    html = f"<body><article><h1>T</h1><p>one</p><section class='{name}'><h2>S</h2><p>kept</p></section></article></body>"
+    assert wrappers.extract(html) == "T\none\nS\nkept"
