@@ -96,7 +96,13 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("doc_id", "log_weight", "key", (F.col("key") >= resample.threshold(keys, model)).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repetition, op4_toxicity, op5_bpe, op6_passages, op7_langid, op8_simhash, op9_wrappers, op10_resample)}
+def op13_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skriva.llm import treaps
+
+    return treaps.search(treaps.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repetition, op4_toxicity, op5_bpe, op6_passages, op7_langid, op8_simhash, op9_wrappers, op10_resample, op13_treaps)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _NORMAL = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -143,4 +149,11 @@ ORACLES: dict[str, str] = {
         b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
         not base_failed and line_chars <= {LINE_SHARE}::double * word_chars and {" and ".join(f"c{n} <= {share}::double * word_chars" for n, share in NGRAM_SHARES.items())} as kept from b""",
+    "op13_treaps": f"""with d as (select row_number() over () as rid, doc_id, {_NORMAL} as w from documents where doc_id is not null),
+        s as (select count(*) filter (len(w) > 0) as big_n, coalesce(sum(len(w)), 0)::bigint as l from d),
+        p as (select rid, term, count(*) as tf from (select rid, unnest(w) as term from d) group by all), f as (select term, count(*) as df from p group by term),
+        i as (select item_id, term, count(*) as times from (select item_id, unnest({_NORMAL}) as term from benchmark where item_id is not null) group by all),
+        x as (select item_id, rid, doc_id, sum(times * floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)))::bigint * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(w) * big_n) // l))))::bigint as score
+        from i join f using (term) join p using (term) join d using (rid), s group by all)
+        select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from x where score > 0 qualify rank <= 10""",
 }
