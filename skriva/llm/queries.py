@@ -96,19 +96,42 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("doc_id", "log_weight", "key", (F.col("key") >= resample.threshold(keys, model)).alias("kept"))
 
 
+def op12_txlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skriva.llm import txlog
+
+    changes, commits = txlog.resolve(txlog.document_log(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    states = txlog.states(changes, commits).select(F.lit("state").alias("kind"), F.col("epoch").alias("id"), F.col("keys").alias("n"), F.col("total").alias("value"))
+    undone = changes.where("fate <> 'commit'").select(F.col("fate").alias("kind"), F.col("at").alias("id"), F.col("by_at").alias("n"), F.col("key").alias("value"))
+    return states.unionByName(undone)
+
+
 def op13_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skriva.llm import treaps
 
     return treaps.search(treaps.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repetition, op4_toxicity, op5_bpe, op6_passages, op7_langid, op8_simhash, op9_wrappers, op10_resample, op13_treaps)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repetition, op4_toxicity, op5_bpe, op6_passages, op7_langid, op8_simhash, op9_wrappers, op10_resample, op12_txlog, op13_treaps)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _NORMAL = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _COVER = "max({flag}) over (partition by doc_id order by pos rows between {back} preceding and current row)"
 
 
+def _crc_table() -> str:
+    """The 256 steps of CRC-32, from its polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    return f"{table}::ubigint[]"
+
+
+def _crc(text: str) -> str:
+    """crc32 of the UTF-8 bytes of a text."""
+    step = f"lambda a, x: xor(({_crc_table()})[(xor(a, x) & 255)::bigint + 1], a >> 8)"
+    return f"xor(list_reduce(list_transform(regexp_extract_all(hex({text}), '..'), lambda x: ('0x' || x)::ubigint), {step}, 4294967295::ubigint), 4294967295::ubigint)::bigint"
+
+
 def _grams(lengths: tuple[int, ...]) -> str:
     """CTEs g{n}: each word with whether it lies in a window of n words that recurs (again) or occurred before (later)."""
     parts = []
@@ -149,6 +172,21 @@ ORACLES: dict[str, str] = {
         b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
         not base_failed and line_chars <= {LINE_SHARE}::double * word_chars and {" and ".join(f"c{n} <= {share}::double * word_chars" for n, share in NGRAM_SHARES.items())} as kept from b""",
+    "op12_txlog": f"""with recursive h as (select doc_id, coalesce('=' || source, '') as source, text, {_crc("doc_id::varchar")} as h from documents where doc_id is not null),
+        t as (select distinct doc_id from labels where toxic = 1),
+        r as (select doc_id, source, row_number() over (partition by source order by doc_id) as k,
+        case when h % 23 < 2 then 'commit' when h % 23 = 2 then 'abort' when h % 23 < 5 then 'savepoint' when h % 23 < 7 then 'rollback' else 'change' end as op, (h // 100) % 300 as key,
+        case when h % 23 >= 7 and text is not null and t.doc_id is null then {_crc("((h // 100) % 300)::varchar || ':' || text")} end as value from h left join t using (doc_id)),
+        x as (select source, 0::bigint as k, [[]::bigint[]] as stack, []::bigint[] as gone, '' as op, null::bigint as by_id from (select distinct source from r)
+        union all select r.source, r.k, case r.op when 'change' then stack[1:len(stack) - 1] || [list_append(stack[len(stack)], r.doc_id)] when 'savepoint' then stack || [[]::bigint[]]
+        when 'rollback' then case when len(stack) > 1 then stack[1:len(stack) - 1] else [[]::bigint[]] end else [[]::bigint[]] end,
+        case r.op when 'rollback' then stack[len(stack)] when 'change' then [] when 'savepoint' then [] else flatten(stack) end, r.op, r.doc_id from x join r on r.source = x.source and r.k = x.k + 1),
+        ended as (select unnest(gone) as doc_id, op as fate, by_id from x union all select unnest(flatten(arg_max(stack, k))), 'abort', null from x group by source),
+        c as (select doc_id as by_id, (row_number() over (order by doc_id) - 1) // 4 + 1 as epoch from r where op = 'commit'),
+        a as (select epoch, by_id, doc_id, key, value from ended join c using (by_id) join r using (doc_id) where fate = 'commit'),
+        s as (select e.epoch, value from (select distinct epoch from c) e join a on a.epoch <= e.epoch qualify row_number() over (partition by e.epoch, key order by by_id desc, doc_id desc) = 1)
+        select 'state' as kind, epoch as id, count(value)::bigint as n, coalesce(sum(value), 0)::bigint as value from (select distinct epoch from c) left join s using (epoch) group by epoch
+        union all select fate, doc_id, by_id, key::bigint from ended join r using (doc_id) where fate <> 'commit'""",
     "op13_treaps": f"""with d as (select row_number() over () as rid, doc_id, {_NORMAL} as w from documents where doc_id is not null),
         s as (select count(*) filter (len(w) > 0) as big_n, coalesce(sum(len(w)), 0)::bigint as l from d),
         p as (select rid, term, count(*) as tf from (select rid, unnest(w) as term from d) group by all), f as (select term, count(*) as df from p group by term),
