@@ -96,6 +96,16 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("doc_id", "log_weight", "key", (F.col("key") >= resample.threshold(keys, model)).alias("kept"))
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skriva.llm import shards
+
+    written = shards.write_shards(table(spark, sf_dir, "documents"))
+    return written.select(
+        "doc_id", shards.size_of(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op12_txlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skriva.llm import txlog
 
@@ -111,7 +121,7 @@ def op13_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treaps.search(treaps.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repetition, op4_toxicity, op5_bpe, op6_passages, op7_langid, op8_simhash, op9_wrappers, op10_resample, op12_txlog, op13_treaps)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repetition, op4_toxicity, op5_bpe, op6_passages, op7_langid, op8_simhash, op9_wrappers, op10_resample, op11_shards, op12_txlog, op13_treaps)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _NORMAL = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
