@@ -54,7 +54,7 @@ def before(summaries: DataFrame, by: list[str], at: str, summary: str, zero: Col
             rows = grouped.withColumn("_b", zero)
         else:
             same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_d{k}")) for k in keys), F.col("_up") == F.col("_dg"))
-            rows = grouped.join(down.select(*(F.col(k).alias(f"_d{k}") for k in keys), F.col("_g").alias("_dg"), "_b"), same)
+            rows = grouped.join(down.select(*(F.col(k).alias(f"_d{k}") for k in keys), F.col("_g").alias("_dg"), "_b").hint("merge"), same)
         run = F.aggregate(
             "_c", F.struct(F.array().cast(f"array<struct<_g:bigint,_b:{kind}>>").alias("out"), F.col("_b").alias("acc")),
             lambda acc, x: F.struct(F.concat(acc["out"], F.array(F.struct(x["_g"].alias("_g"), acc["acc"].alias("_b")))).alias("out"), combine(acc["acc"], x["_s"]).cast(kind).alias("acc")),
