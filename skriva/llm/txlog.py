@@ -97,6 +97,11 @@ def read_chunk(chunk: int, records: Iterator[tuple]) -> Iterator[tuple]:
         yield ("sum", chunk, source, None, None, None, s.ends, s.popped, len(s.stack) - 1, s.first_end is not None, *(s.first_end or (None, None, None)))
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """A join side that is never broadcast: all of them grow with the log."""
+    return df.hint("merge")
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}[c.split()[1]]) for n, c in zip(_NAMES, _OUT.split(", "), strict=True)])
     records = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -139,12 +144,12 @@ def resolve(log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, Da
     zero = F.struct(F.lit(0).alias("pops"), F.lit(0).alias("saves"), F.lit(0).alias("ends"))
     # before the first chunk no savepoint is open, so pops left over meet nothing
     start = before(sums, ["source"], "chunk", "s", zero, _then, chunks).select("source", "chunk", F.col("before.saves").alias("depth"), F.col("before.ends").alias("tx"))
-    placed = cut(sums.join(start, ["source", "chunk"]).select("source", "chunk", "depth", "tx", "ended", "fate", "by_rec", "by_at", F.col("s.pops").alias("pops"), F.col("s.ends").alias("ends")))
+    placed = cut(sums.join(_sorted(start), ["source", "chunk"]).select("source", "chunk", "depth", "tx", "ended", "fate", "by_rec", "by_at", F.col("s.pops").alias("pops"), F.col("s.ends").alias("ends")))
 
     at_chunk = placed.select("source", "chunk", "depth", "tx", "pops", "ends", "ended")
-    opened = tagged("open").select("source", "chunk", "rec", "at", "key", "value", "nth").join(at_chunk, ["source", "chunk"])
+    opened = tagged("open").select("source", "chunk", "rec", "at", "key", "value", "nth").join(_sorted(at_chunk), ["source", "chunk"])
     opened = opened.withColumns({"level": F.when(F.col("ended"), F.lit(0)).otherwise(F.greatest(F.col("depth") - F.col("pops"), F.lit(0))) + F.col("nth"), "tx": F.col("tx") + F.col("ends")})
-    popped = tagged("pop").select("source", "chunk", F.struct("rec", "at").alias("pop"), "nth").join(at_chunk, ["source", "chunk"])
+    popped = tagged("pop").select("source", "chunk", F.struct("rec", "at").alias("pop"), "nth").join(_sorted(at_chunk), ["source", "chunk"])
     popped = popped.groupBy("source", "tx", F.greatest(F.col("depth") - F.col("nth") + 1, F.lit(0)).alias("level"), "chunk").agg(F.min("pop").alias("pop"))
     # of a level in a transaction: one segment and one rollback a chunk at most, so these lines are as long as there are chunks
     segments = opened.select("source", "tx", "level", "chunk").distinct()
@@ -154,14 +159,14 @@ def resolve(log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, Da
     ends = placed.where("ended").select("source", "tx", F.struct("fate", F.col("by_rec").alias("rec"), F.col("by_at").alias("at")).alias("end"))
     nothing = F.struct(F.lit("abort").alias("fate"), F.lit(None).cast("bigint").alias("rec"), F.lit(None).cast("bigint").alias("at"))
     rolled = F.when(F.col("next").isNotNull(), F.struct(F.lit("rollback").alias("fate"), F.col("next.rec").alias("rec"), F.col("next.at").alias("at")))
-    line = line.join(ends, ["source", "tx"], "left").select("source", "chunk", "tx", "level", F.coalesce(rolled, "end", nothing).alias("by"))
-    late = opened.join(line, ["source", "chunk", "tx", "level"]).select("rec", "at", "source", "key", "value", "by.fate", F.col("by.rec").alias("by_rec"), F.col("by.at").alias("by_at"))
+    line = line.join(_sorted(ends), ["source", "tx"], "left").select("source", "chunk", "tx", "level", F.coalesce(rolled, "end", nothing).alias("by"))
+    late = opened.join(_sorted(line), ["source", "chunk", "tx", "level"]).select("rec", "at", "source", "key", "value", "by.fate", F.col("by.rec").alias("by_rec"), F.col("by.at").alias("by_at"))
     changes = tagged("done").select(*late.columns).unionByName(late)
     changes = changes.withColumn("source", F.when(F.col("source") != "", F.substr("source", F.lit(2))))
 
     counted = tagged("commit").groupBy("chunk").agg(F.count("*").alias("n"))
     first = before(counted, [], "chunk", "n", F.lit(0), lambda a, b: a + b, chunks)
-    commits = tagged("commit").select("chunk", "rec", "at", "nth").join(first, "chunk").select("rec", "at", (F.col("before") + F.col("nth")).alias("number"))
+    commits = tagged("commit").select("chunk", "rec", "at", "nth").join(_sorted(first), "chunk").select("rec", "at", (F.col("before") + F.col("nth")).alias("number"))
     return changes, commits
 
 
@@ -173,24 +178,24 @@ def states(changes: DataFrame, commits: DataFrame, every: int = 4, block: int =
     commits = cut(commits.select("rec", (F.floor(F.col("number") / every) + 1).alias("epoch")))
     last = commits.agg(F.max("epoch")).first()[0] or 0
     blocks = last // block + 1
-    applied = changes.where("fate = 'commit'").join(commits.select(F.col("rec").alias("by_rec"), "epoch"), "by_rec")
+    applied = changes.where("fate = 'commit'").join(_sorted(commits.select(F.col("rec").alias("by_rec"), "epoch")), "by_rec")
     latest = F.max_by(F.struct("value"), F.struct("by_rec", "rec")).alias("now")
     steps = cut(applied.groupBy("key", "epoch").agg(latest).withColumn("block", F.floor(F.col("epoch") / block)))
     # the value that a key comes into a block with: the last one before it
     kept = steps.groupBy("key", "block").agg(F.max_by("now", "epoch").alias("s"))
     came = before(kept, ["key"], "block", "s", F.lit(None), lambda a, b: F.coalesce(b, a), blocks)
     inside = Window.partitionBy("key", "block").orderBy("epoch")
-    moved = steps.join(came, ["key", "block"]).withColumn("old", F.coalesce(F.lag("now").over(inside), "before"))
+    moved = steps.join(_sorted(came), ["key", "block"]).withColumn("old", F.coalesce(F.lag("now").over(inside), "before"))
     held = lambda s: F.when(F.col(f"{s}.value").isNotNull(), 1).otherwise(0)
     worth = lambda s: F.coalesce(F.col(f"{s}.value"), F.lit(0))
     deltas = moved.groupBy("epoch").agg(F.sum(held("now") - held("old")).alias("keys"), F.sum(worth("now") - worth("old")).alias("total"))
-    each = commits.select("epoch").distinct().join(deltas, "epoch", "left").select("epoch", F.floor(F.col("epoch") / block).alias("block"), F.struct(F.coalesce("keys", F.lit(0)).alias("keys"), F.coalesce("total", F.lit(0)).alias("total")).alias("d"))
+    each = commits.select("epoch").distinct().join(_sorted(deltas), "epoch", "left").select("epoch", F.floor(F.col("epoch") / block).alias("block"), F.struct(F.coalesce("keys", F.lit(0)).alias("keys"), F.coalesce("total", F.lit(0)).alias("total")).alias("d"))
     each = cut(each)
     summed = each.groupBy("block").agg(F.struct(F.sum("d.keys").alias("keys"), F.sum("d.total").alias("total")).alias("s"))
     both = lambda a, b: F.struct((a["keys"] + b["keys"]).alias("keys"), (a["total"] + b["total"]).alias("total"))
     start = before(summed, [], "block", "s", F.struct(F.lit(0).alias("keys"), F.lit(0).alias("total")), both, blocks)
     upto = Window.partitionBy("block").orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
-    return each.join(start, "block").select("epoch", (F.col("before.keys") + F.sum("d.keys").over(upto)).alias("keys"), (F.col("before.total") + F.sum("d.total").over(upto)).alias("total"))
+    return each.join(_sorted(start), "block").select("epoch", (F.col("before.keys") + F.sum("d.keys").over(upto)).alias("keys"), (F.col("before.total") + F.sum("d.total").over(upto)).alias("total"))
 
 
 def document_log(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -202,5 +207,5 @@ def document_log(docs: DataFrame, labels: DataFrame) -> DataFrame:
     value = F.when(op == "change", F.crc32(F.concat_ws(":", key.cast("string"), F.col("text")).cast("binary")))
     rows = docs.select("doc_id", "source", op.alias("op"), key.alias("key"), F.when(F.col("text").isNotNull(), value).alias("value"))
     toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("at")).distinct().withColumn("gone", F.lit(True))
-    rows = rows.withColumnRenamed("doc_id", "at").join(toxic, "at", "left")
+    rows = rows.withColumnRenamed("doc_id", "at").join(_sorted(toxic), "at", "left")
     return rows.select("at", "source", "op", "key", F.when(F.col("gone").isNull(), F.col("value")).alias("value"))
