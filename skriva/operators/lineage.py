@@ -25,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise once in the shared folder, so that later plans read it and a lost executor costs a read."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the session works on at once, where a scan gives fewer; for rows that are dear to work on."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from skriva.functions import kana
 from skriva.functions import text as X
+from skriva.operators.lineage import spread
+from skriva.operators.readings import with_readings
 from skriva.plans.cue_queries import _DROP
 from skriva.plans.registered import query, read
 
@@ -21,13 +23,13 @@ def normalize_chars(spark, d):
 
 @query(_DOCS + f" select doc_id, md5(lower(trim({_SPACED}))) as digest from t")
 def normalize_words(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.md5(X.normalize_words(F.col("text"))).alias("digest"))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(X.normalize_words(F.col("text"))).alias("digest"))
 
 
 @query(_DOCS + f", w as (select doc_id, regexp_extract_all(lower(trim({_SPACED})), '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)?') as w from t) select doc_id, len(w)::bigint as n, md5(coalesce(list_aggregate(w, 'string_agg', ' '), '')) as digest from w")
 def tokenize(spark, d):
     w = X.tokenize(F.col("text"))
-    return read(spark, d, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("bigint").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("bigint").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
 @query("select doc_id, case when length(text) > 0 and length(regexp_replace(substr(text, 1, 4000), '[^\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}]', '', 'g'))/length(substr(text, 1, 4000)) < 0.15 then 'word' else 'char' end as unit from documents")
@@ -95,3 +97,27 @@ def _myriad(n: str) -> str:
 def read_number(spark, d):
     n = read(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("digits"))
     return n.select("o_orderkey", kana.read_number_udf("digits").alias("reading"))
+
+
+_WORD_COST = "('0x' || substr(md5(surface), 1, 4))::int % 300 + 50"
+_STEP = "{{'c': {back}.c + {cost}, 'n': -{n}, 'r': {back}.r || {said}}}"
+
+
+@query(
+    f"""with recursive s as (select distinct substr(w, 1, k) as surface from (select unnest(regexp_extract_all(text, '[a-z]+')) as w from benchmark), (values (2), (3), (4)) v(k) where length(w) >= k),
+    dict as (select surface, upper(surface) as said, {_WORD_COST} as cost from s),
+    runs as (select distinct w from (select unnest(regexp_extract_all(text, '[a-z]+')) as w from documents)),
+    p as (select w, 0 as k, {{'c': 0::bigint, 'n': 0, 'r': ''}} as b0, null::struct(c bigint, n int, r varchar) as b1, null::struct(c bigint, n int, r varchar) as b2, null::struct(c bigint, n int, r varchar) as b3 from runs
+    union all select w, k + 1, list_sort(list_filter([{_STEP.format(back="b0", cost="150", n=1, said="substr(w, k + 1, 1)")}, {", ".join(_STEP.format(back=f"b{n - 1}", cost=f"d{n}.cost", n=n, said=f"d{n}.said") for n in (2, 3, 4))}], lambda x: x.c is not null))[1], b0, b1, b2
+    from p {" ".join(f"left join dict d{n} on k + 1 >= {n} and d{n}.surface = substr(w, k + 2 - {n}, {n})" for n in (2, 3, 4))} where k < length(w)),
+    read as (select w, b0.r as said from p where k = length(w)),
+    t as (select doc_id, unnest(list_zip(x, range(len(x)))) as z from (select doc_id, regexp_extract_all(text, '[a-z]+|[^a-z]+') as x from documents)),
+    j as (select doc_id, string_agg(coalesce(said, z[1]), '' order by z[2]) as said from t left join read on read.w = z[1] group by doc_id)
+    select doc_id, case when text is not null then md5(nfc_normalize(coalesce(said, ''))) end as digest from documents left join j using (doc_id)"""
+)
+def kana_reading(spark, d):
+    """Whole texts read by a dictionary made of the beginnings of benchmark words, at costs that make words compete."""
+    word = F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))
+    starts = read(spark, d, "benchmark").select(word.alias("w")).select(F.explode(F.transform(F.sequence(F.lit(2), F.least(F.length("w"), F.lit(4))), lambda k: F.substr("w", F.lit(1), k))).alias("surface"), F.length("w").alias("n"))
+    words = starts.where("n >= 2").select("surface").distinct().select("surface", F.upper("surface").alias("reading"), (F.conv(F.substring(F.md5("surface"), 1, 4), 16, 10).cast("int") % 300 + 50).alias("cost"))
+    return with_readings(spread(read(spark, d, "documents").select("doc_id", "text")), "text", words, unknown=150).select("doc_id", F.md5("reading").alias("digest"))
