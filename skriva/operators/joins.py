@@ -12,18 +12,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skriva.operators import scan
+
 
 def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str], values: list[str], first_if_before: bool = False) -> DataFrame:
     """``left`` with the ``values`` of the last right row whose time is not after its own (inclusive).
 
-    Both sides are lined up in one sort per ``by`` and the last right row is carried
-    forward.  With ``first_if_before`` a left row before all right rows takes the first.
+    Both sides are lined up in time order in parts (``scan``); inside a part the last right row is
+    carried forward, into it comes the last one of all earlier parts.  With ``first_if_before`` a left row before all right rows takes the first.
     """
     l = left.select(F.struct(*left.columns).alias("_l"), *by, F.col(left_on).cast("double").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*values).alias("v")).schema["v"].dataType).alias("_v"))
     r = right.select(F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), *by, F.col(right_on).cast("double").alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_v"))
-    order = Window.partitionBy(*by).orderBy("_t", "_side")
-    rows = l.unionByName(r).withColumn("_last", F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.where("_side = 1")
+    order = ["_t", "_side"]
+    rows, parts = scan.dealt(l.unionByName(r), by, order)
+    rows = scan.with_before(rows, parts, by, F.max_by("_v", F.when(F.col("_side") == 0, F.col("_t"))), F.lit(None), lambda a, b: F.coalesce(b, a))
+    here = F.last("_v", ignorenulls=True).over(scan.line(by, order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_last", F.coalesce(here, "_before")).where("_side = 1")
     if first_if_before:  # one row a key: the first of the right side
         first = r.groupBy(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by))).agg(F.min_by("_v", "_t").alias("_first"))
         same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)))

@@ -25,10 +25,10 @@ FINER = 4
 Combine = Callable[[Column, Column], Column]
 
 
-def dealt(rows: DataFrame, by: list[str], order: list[str], parts: int | None = None) -> DataFrame:
-    """``rows`` with _part, ascending with (by, order); cut, so that parts stay what they are."""
+def dealt(rows: DataFrame, by: list[str], order: list[str], parts: int | None = None) -> tuple[DataFrame, int]:
+    """``rows`` with _part, ascending with (by, order), and the number of parts; cut, so that parts stay what they are."""
     n = parts or FINER * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(rows.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()))
+    return cut(rows.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id())), n
 
 
 def before(summaries: DataFrame, by: list[str], at: str, summary: str, zero: Column, combine: Combine, parts: int, fanout: int = FANOUT) -> DataFrame:
@@ -63,9 +63,8 @@ def before(summaries: DataFrame, by: list[str], at: str, summary: str, zero: Col
     return down.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), F.col("_g").alias(at), F.col("_b").alias("before"))
 
 
-def with_before(rows: DataFrame, by: list[str], summary: Column, zero: Column, combine: Combine, name: str = "_before") -> DataFrame:
-    """``dealt`` rows with the value that their part starts from; ``summary`` is an aggregate of the part's rows."""
-    parts = (rows.agg(F.max("_part")).first()[0] or 0) + 1
+def with_before(rows: DataFrame, parts: int, by: list[str], summary: Column, zero: Column, combine: Combine, name: str = "_before") -> DataFrame:
+    """``dealt`` rows with the value that their part starts from; ``summary`` is an aggregate of a key's rows in a part."""
     each = rows.groupBy(*by, "_part").agg(summary.alias("_sum"))
     start = before(each, by, "_part", "_sum", zero, combine, parts).select(*(F.col(c).alias(f"_of{k}") for k, c in enumerate(by)), F.col("_part").alias("_of"), F.col("before").alias(name))
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_of{k}")) for k, c in enumerate(by)), F.col("_part") == F.col("_of"))
@@ -75,3 +74,11 @@ def with_before(rows: DataFrame, by: list[str], summary: Column, zero: Column, c
 def line(by: list[str], order: list[str]) -> Window:
     """The window of a key's rows inside their part."""
     return Window.partitionBy(*by, "_part").orderBy(*order)
+
+
+def sum_before(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str, parts: int | None = None) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of their key before them; 0 for the first, nulls add nothing."""
+    held, n = dealt(rows.withColumn("_v", F.coalesce(value, F.lit(0))), by, order, parts)
+    held = with_before(held, n, by, F.sum("_v"), F.lit(0), lambda a, b: a + b)
+    inside = line(by, order).rowsBetween(Window.unboundedPreceding, -1)
+    return held.withColumn(name, F.col("_before") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_v", "_before", "_part")

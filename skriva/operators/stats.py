@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skriva.operators import scan
+
 #: Two-sided 95 % points of Student's t by degrees of freedom.
 T_95 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228, 12: 2.179, 15: 2.131, 20: 2.086, 30: 2.042}
 
@@ -54,11 +56,11 @@ def bootstrap(pairs: DataFrame, unit: str, order: list[str], n_boot: int, seed:
     """(unit, boot_id, diff): length-weighted difference of both arms over files drawn with replacement.
 
     ``pairs`` has weight, ea, eb.  The files of a unit are numbered; draws meet them by an
-    equi-join on (unit, number).  Exact draws for up to some thousand files a unit, which are
-    numbered in one task; ``poisson_bootstrap`` takes any number.
+    equi-join on (unit, number).  A resample has as many draws as the unit has files; ``poisson_bootstrap``
+    sums them up where they are.
     """
     spark = pairs.sparkSession
-    numbered = pairs.withColumn("_i", (F.row_number().over(Window.partitionBy(unit).orderBy(*order)) - 1).cast("bigint"))
+    numbered = scan.sum_before(pairs, [unit], order, F.lit(1).cast("bigint"), "_i")
     sizes = numbered.groupBy(unit).agg(F.count("*").alias("_n"))
     draws = sizes.crossJoin(spark.range(n_boot).withColumnRenamed("id", "boot_id")).withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
     draws = draws.withColumn("_i", draw(seed, F.col("boot_id"), F.col("_slot"), F.col("_n"))).select(unit, "boot_id", "_i")
@@ -96,8 +98,8 @@ def block_bootstrap(per_pos: DataFrame, by: str, pos: str, errors: str, n_boot:
     equi-join on its ends.
     """
     spark = per_pos.sparkSession
-    line = Window.partitionBy(by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    sums = per_pos.select(by, F.col(pos).cast("bigint").alias("_p"), F.sum(errors).over(line).alias("_sum"))
+    sums = scan.sum_before(per_pos.select(by, F.col(pos).cast("bigint").alias("_p"), F.col(errors).alias("_e")), [by], ["_p"], F.col("_e"), "_sum")
+    sums = sums.select(by, "_p", (F.col("_sum") + F.coalesce("_e", F.lit(0))).alias("_sum"))
     n = per_pos.groupBy(by).agg(F.count("*").alias("_n")).withColumn("_k", F.floor(F.col("_n") / block).cast("bigint"))
     draws = n.where(F.col("_n") >= 2 * block).crossJoin(spark.range(n_boot).withColumnRenamed("id", "boot_id")).withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)))
     draws = draws.withColumn("_s", draw(seed, F.col("boot_id"), F.col("_slot"), F.col("_n") - block))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skriva.functions import text
-from skriva.operators import align
+from skriva.operators import align, scan
 from skriva.operators.joins import asof, band, greedy
 
 
@@ -14,10 +14,10 @@ def timeline(cues: DataFrame, by: str = "file_id", normal: bool = True) -> DataF
     """(by, char_pos, ch, t_s): each character of a cue at its share of the cue's time; empty cues have none."""
     said = text.normalize_chars(F.col("text")) if normal else text.drop_marks(F.col("text"))
     line = cues.select(by, "cue_idx", "start_s", "end_s", text.characters(said).alias("line"))
-    line = line.withColumn("n", F.size("line"))  # below the explosion: once a cue, not once a character
-    rows = line.select(by, "cue_idx", "start_s", "end_s", "n", F.posexplode("line").alias("i", "ch"))
+    line = scan.sum_before(line.withColumn("n", F.size("line")), [by], ["cue_idx"], F.col("n").cast("bigint"), "_before_cue")  # once a cue, not once a character
+    rows = line.select(by, "_before_cue", "start_s", "end_s", "n", F.posexplode("line").alias("i", "ch"))
     at = F.col("start_s") + F.greatest(F.col("end_s") - F.col("start_s"), F.lit(1e-6)) * (F.col("i") + 0.5) / F.col("n")
-    return rows.select(by, (F.row_number().over(Window.partitionBy(by).orderBy("cue_idx", "i")) - 1).alias("char_pos"), "ch", at.alias("t_s"))
+    return rows.select(by, (F.col("_before_cue") + F.col("i")).alias("char_pos"), "ch", at.alias("t_s"))
 
 
 def anchors(ops: Column, min_anchor: int = 8, max_span: int = 40) -> Column:
