@@ -24,12 +24,12 @@ def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: lis
     l = left.select(F.struct(*left.columns).alias("_l"), *by, F.col(left_on).cast("double").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*values).alias("v")).schema["v"].dataType).alias("_v"))
     r = right.select(F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), *by, F.col(right_on).cast("double").alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_v"))
     order = ["_t", "_side"]
-    rows, parts = scan.dealt(l.unionByName(r), by, order)
-    rows = scan.with_before(rows, parts, by, F.max_by("_v", F.when(F.col("_side") == 0, F.col("_t"))), F.lit(None), lambda a, b: F.coalesce(b, a))
+    held, parts = scan.dealt(l.unionByName(r), by, order)
+    rows = scan.with_before(held, parts, by, F.max_by("_v", F.when(F.col("_side") == 0, F.col("_t"))), F.lit(None), lambda a, b: F.coalesce(b, a))
     here = F.last("_v", ignorenulls=True).over(scan.line(by, order).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_last", F.coalesce(here, "_before")).where("_side = 1")
     if first_if_before:  # one row a key: the first of the right side
-        first = r.groupBy(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by))).agg(F.min_by("_v", "_t").alias("_first"))
+        first = held.where("_side = 0").groupBy(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by))).agg(F.min_by("_v", "_t").alias("_first"))
         same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)))
         rows = rows.join(first, same, "left").withColumn("_last", F.coalesce("_last", "_first"))
     return rows.select("_l.*", *(F.col(f"_last.{v}").alias(v) for v in values))

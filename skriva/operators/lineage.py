@@ -28,6 +28,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as the session works on at once, where a scan gives fewer; for rows that are dear to work on."""
+    """A scan in as many partitions as the session works on at once, where it has fewer; for rows that are dear to work on."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from skriva.functions import text as X
 from skriva.operators import align as A
+from skriva.operators.lineage import spread
 from skriva.plans.cue_queries import _DROP
 from skriva.plans.registered import query, read
 
 
 def _pairs(spark, d):
-    t = read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("ref"))
+    t = spread(read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("ref")))
     return t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp")), ["conv_id", "turn"])
 
 
