@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skriva.functions import signal as G
 from skriva.operators import chunking as C
+from skriva.operators import scan
 from skriva.plans.registered import query, read
 
 _PEAK = "20*log10(greatest(list_max(list_transform(embedding, lambda x: abs(x::double))), 1e-12))"
@@ -137,21 +138,43 @@ def window_tiling(spark, d):
     return C.windows(files, "file", "s", 30.0).select("file", "win", F.round("start_s", 6).alias("start_s"), F.round("dur_s", 6).alias("dur_s"))
 
 
-def _signals(spark, d):
-    """A signal a label: its embeddings one after the other (64 samples each)."""
-    rows = _e(spark, d).groupBy("label").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"])).alias("samples"))
-    return rows
+_SIGNAL = """with recursive e as (select label, embedding, row_number() over (partition by label order by vec_id) - 1 as r from embeddings),
+x as (select label, r*64 + generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as v from e),
+w as (select label, i, sum(v*v) over g as energy, count(*) over g as n from x window g as (partition by label order by i rows between current row and 19 following)),
+es as (select label, list(round(energy, 12) order by i) as es from w where n = 20 group by label), nn as (select label, count(*) as n from x group by label)"""
+_CHUNKS = """, b as (select label, cut, row_number() over (partition by label order by cut) - 1 as k from c), z as (select label, k, cut as lo, coalesce(lead(cut) over (partition by label order by k), n) as hi from b join nn using (label))
+select label, k::int as chunk_idx, lo::bigint as start_sample, hi::bigint as end_sample from z"""
 
 
-@query()
+@query(
+    _SIGNAL
+    + """, c as (select label, 0::bigint as cut from nn union all select label, case when hi - lo < 20 then lo else lo + list_position(es[lo + 1:hi - 19], list_min(es[lo + 1:hi - 19])) - 1 + 10 end
+    from (select c.label, es, n, cut, greatest(cut + 320, cut + 20) as lo, least(cut + 480, n - 20) as hi from c join nn using (label) join es using (label)) where n - cut - 400 > 200 and lo < hi)"""
+    + _CHUNKS
+)
 def energy_cut_chain(spark, d):
-    return _signals(spark, d).select("label", F.explode(C.energy_chunks(F.col("samples"), 1.0, 0.2, 400)).alias("c")).select("label", "c.*")
+    """A label's embeddings one after the other are a signal of 400 samples a second."""
+    return C.energy_chunk_rows(_e(spark, d), "label", "vec_id", "embedding", 1.0, 0.2, 400)
 
 
-@query()
+_RUNS = "list_filter(flatten(list_transform(range(0, len(seg)), lambda a: list_transform(range(a + 1, len(seg) + 1), lambda b: {'n': a - b, 'a': a, 'ok': list_bool_and(seg[a + 1:b])}))), lambda r: r.ok)"
+
+
+@query(
+    _SIGNAL
+    + f""", q as (select label, list(quiet order by f) as q from (select label, i//512 as f, 20*log10(greatest(sqrt(sum(v*v)/512), 1e-10)) <= -18 as quiet from x group by all having count(*) = 512) group by label),
+    c as (select label, 0::bigint as cut from nn union all select label, greatest(lo + 1, least(hi - 1, case when best is not null then (lo//512 + best.a + (-best.n)//2)*512
+    when hi - 20 - lo < 20 then (lo + hi)//2 else lo + list_position(es[lo + 1:hi - 39], list_min(es[lo + 1:hi - 39])) - 1 + 10 end))
+    from (select label, es, lo, hi, list_sort({_RUNS})[1] as best from (select *, q[lo//512 + 1:least(hi//512, len(q))] as seg from
+    (select c.label, es, q, n, cut, cut + 1000 as lo, least(cut + 2200, n - 512) as hi from c join nn using (label) join es using (label) join q using (label)) where n - cut - 1600 > 800 and lo < hi)))"""
+    + _CHUNKS
+)
 def vad_cut_chain(spark, d):
+    """The same signals with a probability for each full window of 512 samples, by its level."""
+    rows = scan.sum_before(_e(spark, d).select("label", "vec_id", "embedding"), ["label"], ["vec_id"], F.lit(1).cast("bigint"), "n")
+    window = rows.groupBy("label", F.floor(F.col("n") / (C.VAD_WINDOW // 64)).alias("window")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "embedding"))), lambda s: s["embedding"])).alias("samples"))
     probs = F.transform(G.frame_db(F.col("samples"), C.VAD_WINDOW), lambda v: F.when(v > -18.0, 1.0).otherwise(0.0))
-    return _signals(spark, d).select("label", F.explode(C.vad_chunks(F.col("samples"), probs, 4.0, 1.5, 0.5, 400)).alias("c")).select("label", "c.*")
+    return C.vad_chunk_rows(window.withColumn("probs", probs), "label", "window", "samples", "probs", 4.0, 1.5, 0.5, 400)
 
 
 @query()
