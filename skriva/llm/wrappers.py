@@ -13,14 +13,17 @@ Then every page is matched with its host's wrapper (an automaton over the wrappe
 which puts each text in a slot.  A slot, with the containers around it, is known by how much
 text it holds, how much of that in links, and whether its text is the same on all pages.
 
-Extraction.  Constant slots are the template's.  Of the other slots the containers that hold
+Extraction.  Of the slots whose text differs the containers that hold
 the most text on the host's pages are the content; where they lie in an <article> or <main>
 that is the region, else the least container that also holds the page's <h1>, else the
-outermost one; beside the content, slots of links do not count.  As a check that follows,
-elements (nav, footer, form, ...), roles and class names of menus, notices, adverts and
-reader comments are left out; a name counts if all its words are of that kind (related-posts
-and not related-work), and never on headings and paragraphs.  Character references are
-decoded, white space in a block becomes one space, and blocks are joined by one newline.
+outermost one; beside the content, slots of links do not count.  Constant slots are the template's
+and decide nothing.  Outside the region they go.  Inside it fixed headings, bylines and labels
+stay, unless they are links: all of them in an <article> or <main>, else those in a container
+with content, and headings and labels between content.
+Before all this, as a page is read, elements (nav, footer, form, ...), roles and class names of
+menus, notices, adverts and reader comments are left out; a name counts if all its words are of
+that kind (related-posts and not related-work), and never on headings and paragraphs.  Character
+references are decoded, white space in a block becomes one space, and blocks are joined by one newline.
 
 Cases: a null or empty html gives an empty text; a page without host is learnt under the
 empty host; one of a host that was not learnt, or that its wrapper does not match, is
@@ -53,6 +56,8 @@ LONGEST_GROUP, LONG, FAN, VARIETY = 12, 200, 64, 3
 LINKS = 0.7
 #: A slot with this share of its host's text is no template's, even if it is constant.
 MOST = 0.2
+#: Blocks that an article may well have on every page.
+LABELS = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "th", "caption", "figcaption"}
 BROADCAST_CHARS = 8 << 20
 _ATTRS = r"((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[^>=])*+)(?:>|\Z)"
 _TOKEN = re.compile(
@@ -406,6 +411,7 @@ class Host:
     """What is known of a host's slots: by (slot, containers), and how much text the containers hold."""
 
     constant: set[tuple[int, str]] = field(default_factory=set)
+    chrome: set[tuple[int, str]] = field(default_factory=set)  # constant, and links
     menus: set[tuple[int, str]] = field(default_factory=set)
     mass: Counter = field(default_factory=Counter)
 
@@ -416,7 +422,7 @@ class Host:
         for s in slots:
             key = s["slot"], s["path"]
             if s["constant"] and s["variety"] >= VARIETY and s["chars"] < most:
-                got.constant.add(key)
+                (got.chrome if s["linked"] >= LINKS * s["chars"] else got.constant).add(key)
             elif s["linked"] >= LINKS * s["chars"]:
                 got.menus.add(key)
             else:
@@ -460,20 +466,23 @@ def region(paths: list[str], titles: list[str], mass: Counter) -> tuple[str, str
 
 def main_text(page: Page, slots: list[int], host: Host) -> str:
     keys = [(k, path) for k, (_, _, path, _) in zip(slots, page.blocks, strict=True)]
-    kept = [n for n, (key, b) in enumerate(zip(keys, page.blocks, strict=True)) if key not in host.constant or b[3] == "h1"]
+    own = [key not in host.constant and key not in host.chrome for key in keys]
+    kept = [n for n, b in enumerate(page.blocks) if own[n] or b[3] == "h1"]
     if not kept:
         return ""
     mass = Counter(host.mass)
     for n in kept:  # decides where the host says nothing
         text, linked, path, _ = page.blocks[n]
         mass[path] += (len(text) - linked) * 1e-6 if host.mass else len(text) - linked
-    where, best, marked = region([page.blocks[n][2] for n in kept], [page.blocks[n][2] for n in kept if page.blocks[n][3] == "h1" and keys[n] not in host.constant], mass)
-    out = []
-    for n in kept:
-        text, _, path, _ = page.blocks[n]
-        if _within(path, where) and (marked or _within(path, best) or keys[n] not in host.menus):
-            out.append(text)
-    return "\n".join(out)
+    where, best, marked = region([page.blocks[n][2] for n in kept], [page.blocks[n][2] for n in kept if page.blocks[n][3] == "h1" and own[n]], mass)
+    out = {n for n in kept if _within(page.blocks[n][2], where) and (marked or _within(page.blocks[n][2], best) or keys[n] not in host.menus)}
+    # what the template repeats inside the content, such as headings, bylines and labels, is the article's
+    holders, content = {page.blocks[n][2] for n in out}, [n for n in out if own[n] and keys[n] not in host.menus]
+    lo, hi = min(content, default=0), max(content, default=-1)
+    for n, key in enumerate(keys):
+        if key in host.constant and _within(page.blocks[n][2], where) and (marked or page.blocks[n][2] in holders or lo < n < hi and page.blocks[n][3] in LABELS):
+            out.add(n)
+    return "\n".join(page.blocks[n][0] for n in sorted(out))
 
 
 def extract(page: str) -> str:

@@ -168,3 +168,25 @@ def test_named_parts_are_left_out(name, mark):
 def test_parts_of_the_article_are_not(name):
     html = f"<body><article><h1>T</h1><p>one</p><section class='{name}'><h2>S</h2><p>kept</p></section></article></body>"
     assert wrappers.extract(html) == "T\none\nS\nkept"
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 30])
+def test_fixed_headings_bylines_and_labels_of_the_article_stay(spark, n):
+    """Whatever the number of pages of a host, in an <article> and without."""
+    rng = random.Random(n)
+    say = lambda k: " ".join(rng.choices(["alder", "birch", "cedar", "elm", "fir", "oak", "pine", "yew"], k=k))
+    pages, want = [], {}
+    for i in range(n):
+        title, a, b, c = f"title {i} {say(2)}", say(30), say(25), say(20)
+        inside = f"<h1>{title}</h1><div class='by'>By the news desk</div><h2>Summary</h2><p>{a}</p><h3>Method</h3><ul><li>Sources</li><li>{b}</li></ul><p>{c}</p>"
+        pages.append((i, f"http://one.example/{i}", f"<body><div class='qx'>Site of trees</div><article>{inside}</article><div class='zz'>All trees are ours</div></body>"))
+        want[i] = "\n".join([title, "By the news desk", "Summary", a, "Method", "Sources", b, c])
+        pages.append((1000 + i, f"http://two.example/{i}", f"<body><div class='kk'>Top of the site</div><div class='tt'><h1>{title}</h1><div class='ingr'><h2>Ingredients</h2><p>{a}</p><h2>Method</h2><p>{b}</p></div></div><div class='vv'>End of the site</div></body>"))
+        want[1000 + i] = "\n".join([title, "Ingredients", a, "Method", b])
+    got = extracted(spark, pages)
+    assert {k: got[k].text for k in want} == want
+
+
+def test_fixed_links_in_an_article_go(spark):
+    pages = [(i, f"http://h.example/{i}", f"<body><article><h1>t{i}</h1><p>text number {i} of many words</p><div class='mm'><a href='/x'>more of this</a></div></article></body>") for i in range(6)]
+    assert {r.text for r in extracted(spark, pages).values()} == {f"t{i}\ntext number {i} of many words" for i in range(6)}
