@@ -188,5 +188,6 @@ def test_fixed_headings_bylines_and_labels_of_the_article_stay(spark, n):
 
 
 def test_fixed_links_in_an_article_go(spark):
-    pages = [(i, f"http://h.example/{i}", f"<body><article><h1>t{i}</h1><p>text number {i} of many words</p><div class='mm'><a href='/x'>more of this</a></div></article></body>") for i in range(6)]
-    assert {r.text for r in extracted(spark, pages).values()} == {f"t{i}\ntext number {i} of many words" for i in range(6)}
+    body = "text number {0} " + "of many words " * 20
+    pages = [(i, f"http://h.example/{i}", f"<body><article><h1>t{i}</h1><p>{body.format(i)}</p><div class='mm'><a href='/x'>more of this</a></div></article></body>") for i in range(6)]
+    assert {r.text for r in extracted(spark, pages).values()} == {f"t{i}\n{body.format(i).strip()}" for i in range(6)}
