@@ -78,7 +78,7 @@ def line(by: list[str], order: list[str]) -> Window:
 
 def sum_before(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str, parts: int | None = None) -> DataFrame:
     """``rows`` with the sum of ``value`` over the rows of their key before them; 0 for the first, nulls add nothing."""
-    held, n = dealt(rows.withColumn("_v", F.coalesce(value, F.lit(0))), by, order, parts)
-    held = with_before(held, n, by, F.sum("_v"), F.lit(0), lambda a, b: a + b)
+    held, n = dealt(rows.withColumn("_summed", F.coalesce(value, F.lit(0))), by, order, parts)
+    held = with_before(held, n, by, F.sum("_summed"), F.lit(0), lambda a, b: a + b)
     inside = line(by, order).rowsBetween(Window.unboundedPreceding, -1)
-    return held.withColumn(name, F.col("_before") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_v", "_before", "_part")
+    return held.withColumn(name, F.col("_before") + F.coalesce(F.sum("_summed").over(inside), F.lit(0))).drop("_summed", "_before", "_part")
