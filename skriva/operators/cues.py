@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skriva.functions import text
+from skriva.operators.chunking import map_time
 
 TOKEN_S = 0.08
 #: Characters that end a sentence.
@@ -79,10 +80,11 @@ def cues_of(pieces: Iterable[tuple[bytes, float]], layout: Layout = Layout()) ->
         yield from b.flush()
 
 
-def build(tokens: DataFrame, layout: Layout = Layout(), by: str = "file_id", order: tuple[str, ...] = ("chunk_idx", "pos"), piece: str = "bytes", at: str = "t_s") -> DataFrame:
+def build(tokens: DataFrame, layout: Layout = Layout(), by: str = "file_id", order: tuple[str, ...] = ("chunk_idx", "pos"), piece: str = "bytes", at: str = "t_s", time_map: DataFrame | None = None) -> DataFrame:
     """(by, cue_idx, start_s, end_s, text) of every file.
 
-    Tokens stream by in order, file after file; no file is held as a whole.
+    Tokens stream by in order, file after file; no file is held as a whole.  ``time_map``
+    (by, new_start_s, old_start_s) brings the cues of compacted audio back to the original times.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +105,15 @@ def build(tokens: DataFrame, layout: Layout = Layout(), by: str = "file_id", ord
 
     kind = tokens.schema[by].dataType.simpleString()
     lined = tokens.select(by, piece, F.col(at).cast("double"), *order).repartition(by).sortWithinPartitions(by, *order)
-    return lined.select(by, piece, at).mapInArrow(run, f"{by} {kind}, cue_idx int, start_s double, end_s double, text string")
+    cues = lined.select(by, piece, at).mapInArrow(run, f"{by} {kind}, cue_idx int, start_s double, end_s double, text string")
+    return cues if time_map is None else remapped(cues, time_map, by)
+
+
+def remapped(cues: DataFrame, time_map: DataFrame, by: str = "file_id") -> DataFrame:
+    """``cues`` with their times by a map (by, new_start_s, old_start_s); files without one keep theirs."""
+    for c in ("start_s", "end_s"):
+        cues = map_time(cues, time_map, by, c, "_old").withColumn(c, F.col("_old")).drop("_old")
+    return cues
 
 
 def _rows(rows: list[tuple], names: list[str], kind: pa.DataType) -> pa.RecordBatch:

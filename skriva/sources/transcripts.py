@@ -47,7 +47,7 @@ def pair_files(files: DataFrame, references: tuple[str, ...] = REFERENCES, name:
 
 
 _TIME = r"(?:(\d{2}):)?(\d{2}):(\d{2})[,.](\d{3})"
-_CUE = rf"(?m)^[ \t]*{_TIME}\s*-->\s*{_TIME}[^\n]*\n((?:(?!\n[ \t]*\n)[\s\S])*)"
+CUE = rf"(?m)^[ \t]*{_TIME}\s*-->\s*{_TIME}[^\n]*\n((?:(?!\n[ \t]*\n)[\s\S])*)"
 
 
 def _seconds(h: Column, m: Column, s: Column, ms: Column) -> Column:
@@ -58,8 +58,8 @@ def _seconds(h: Column, m: Column, s: Column, ms: Column) -> Column:
 def parse_cues(files: DataFrame, by: str = "path", raw: str = "raw") -> DataFrame:
     """(by, cue_idx, start_s, end_s, text) of SRT and VTT texts; a text runs to a blank line or the end."""
     clean = F.replace(F.col(raw), F.lit("\r\n"), F.lit("\n"))
-    rows = files.select(by, F.posexplode(F.regexp_extract_all(clean, F.lit(_CUE), F.lit(0))).alias("cue_idx", "_c"))
-    g = lambda k: F.regexp_extract("_c", _CUE, k)
+    rows = files.select(by, F.posexplode(F.regexp_extract_all(clean, F.lit(CUE), F.lit(0))).alias("cue_idx", "_c"))
+    g = lambda k: F.regexp_extract("_c", CUE, k)
     return rows.select(by, "cue_idx", _seconds(g(1), g(2), g(3), g(4)).alias("start_s"), _seconds(g(5), g(6), g(7), g(8)).alias("end_s"), F.rtrim(g(9), F.lit("\n")).alias("text"))
 
 
