@@ -1,13 +1,17 @@
-"""The registered functions used from SQL text, and cues on a remapped time line."""
+"""The registered functions used from SQL text, cues as files, and cues on a remapped time line."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skriva.functions import registered
 from skriva.operators import cues as C
+from skriva.operators.lineage import shared_dir
 from skriva.plans.cue_queries import _CUES, _cues, _ts
 from skriva.plans.registered import ORACLES, query, read
+from skriva.sources import cue_source
 
 
 @query(ORACLES["parse_cues"])
@@ -17,6 +21,17 @@ def sql_parse_cues(spark, d):
     return spark.sql("SELECT file_id, c.cue_idx, round(c.start_s, 3) AS start_s, round(c.end_s, 3) AS end_s, cast(length(c.text) AS bigint) AS n_chars FROM {files}, LATERAL parse_cues(document) c", files=files)
 
 
+@query(ORACLES["parse_cues"])
+def cue_files(spark, d):
+    """The same cues written as files and read back through the data source."""
+    cue_source.register(spark)
+    folder = f"{shared_dir(spark).rstrip('/')}/cues-{uuid.uuid4().hex}"
+    C.srt(_cues(spark, d), width=1 << 20).select("file_id", "document").write.format("cues").mode("append").save(folder)
+    back = spark.read.format("cues").load(folder)
+    file = F.regexp_extract("path", r"([^/]+)[.]srt$", 1).cast("bigint")
+    return back.select(file.alias("file_id"), "cue_idx", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query(ORACLES["energy_cut_chain"])
 def sql_energy_chunks(spark, d):
     registered.register(spark)
