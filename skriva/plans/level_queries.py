@@ -8,6 +8,7 @@ from skriva.functions import signal as G
 from skriva.operators import chunking as C
 from skriva.operators import scan
 from skriva.plans.registered import query, read
+from skriva.sources import audio
 
 _PEAK = "20*log10(greatest(list_max(list_transform(embedding, lambda x: abs(x::double))), 1e-12))"
 
@@ -157,6 +158,20 @@ def energy_cut_chain(spark, d):
     return C.energy_chunk_rows(_e(spark, d), "label", "vec_id", "embedding", 1.0, 0.2, 400)
 
 
+@query(
+    """with e as (select label, embedding, row_number() over (partition by label order by vec_id) - 1 as r from embeddings),
+    x as (select label, r*64 + generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as v from e), n as (select label, ceil(count(*)*2/5)::bigint as n from x group by label),
+    p as (select label, i, v, unnest(range(greatest(ceil((2*i - 80)/5), 0)::bigint, least(floor((2*i + 80)/5) + 1, n)::bigint)) as m from x join n using (label)),
+    t as (select label, m, v, m*5 - i*2 as t from p)
+    select label, m, round(sum(v * 0.4 * case when t = 0 then 1 else sin(pi()*t/5)/(pi()*t/5) end * (0.5 + 0.5*cos(pi()*t/80))), 6) as v from t group by all"""
+)
+def resample_signal(spark, d):
+    """The same signals at 160 samples a second."""
+    blocks = audio.resample_rows(_e(spark, d), "label", "vec_id", "embedding", 400, 160)
+    rows = scan.sum_before(blocks, ["label"], ["block"], F.size("samples").cast("bigint"), "first").select("label", "first", F.posexplode("samples").alias("k", "v"))
+    return rows.select("label", (F.col("first") + F.col("k")).alias("m"), F.round("v", 6).alias("v"))
+
+
 _RUNS = "list_filter(flatten(list_transform(range(0, len(seg)), lambda a: list_transform(range(a + 1, len(seg) + 1), lambda b: {'n': a - b, 'a': a, 'ok': list_bool_and(seg[a + 1:b])}))), lambda r: r.ok)"
 
 
