@@ -127,12 +127,15 @@ def cheapest(n: int, start: np.ndarray, end: np.ndarray, cost: np.ndarray, unkno
     e = np.concatenate((end, place + 1))
     price = np.concatenate((cost.astype(np.int64), np.full(len(place), unknown, np.int64)))
     origin = first_of[np.searchsorted(first_of, s, "right") - 1]
-    order = np.lexsort((s, e, e - origin))  # by distance from the stretch's begin, then place
-    s, e, price, far = s[order], e[order], price[order], (e - origin)[order]
+    # one number to sort by: distance from the stretch's begin, then place, then the longest first
+    longest = int((e - s).max())
+    order = np.argsort(((e - origin) * (n + 1) + e) * (longest + 1) + longest - (e - s), kind="stable")
+    s, e, price, origin = s[order], e[order], price[order], origin[order]
+    far = e - origin
     best, by = np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int64)
     bounds = np.flatnonzero(np.concatenate(([True], far[1:] != far[:-1], [True])))
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        reach = best[s[lo:hi]] * (s[lo:hi] > origin[order[lo:hi]]) + price[lo:hi]
+        reach = best[s[lo:hi]] * (s[lo:hi] > origin[lo:hi]) + price[lo:hi]
         head = np.flatnonzero(np.concatenate(([True], e[lo + 1 : hi] != e[lo : hi - 1])))
         least = np.minimum.reduceat(reach, head)
         ok = np.flatnonzero(reach == np.repeat(least, np.diff(np.append(head, hi - lo))))[::-1]
