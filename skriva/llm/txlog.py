@@ -20,7 +20,7 @@ values come from the same scan.  Nothing that grows with the log passes through
 the driver or a broadcast.
 
 Cases: records without ``at`` or with an unknown operation are left out.  A null source is
-one source.  Records with equal ``at`` follow each other by source, operation, key and value; repeated records count each.
+one source.  Records with equal ``at`` follow each other by a hash of the rest, then by the rest; repeated records count each.
 An empty log gives an empty result.
 """
 
@@ -135,8 +135,10 @@ def resolve(log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, Da
     ).where(F.col("at").isNotNull() & F.col("op").isin(*OPS))
     rows = cut(rows)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // chunk_rows))
-    order = ["at", "source", "op", "key", "value"]
-    read = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_read, _OUT))
+    # ranges of two numbers, as the driver gets a sample of what rows are ranged by
+    rows = rows.withColumn("tie", F.xxhash64("source", "op", "key", "value"))
+    lined = rows.repartitionByRange(parts, "at", "tie").sortWithinPartitions("at", "tie", "source", "op", "key", "value").drop("tie")
+    read = cut(lined.mapInArrow(_read, _OUT))
     chunks = (read.agg(F.max("chunk")).first()[0] or 0) + 1
 
     tagged = lambda tag: read.where(F.col("tag") == tag)
