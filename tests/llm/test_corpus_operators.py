@@ -239,7 +239,7 @@ def test_registered_names():
     from skriva.llm import queries
 
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_hot_keys_change_nothing(spark, monkeypatch):
