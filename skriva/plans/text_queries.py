@@ -81,6 +81,7 @@ def _list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
+# How Japanese reads tens, hundreds and thousands, for the SQL side.
 _SAID = ["いち", "に", "さん", "よん", "ご", "ろく", "なな", "はち", "きゅう"]
 _PLACES = [
     ["", *_SAID], ["", "じゅう", *(x + "じゅう" for x in _SAID[1:])],
