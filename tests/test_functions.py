@@ -106,3 +106,9 @@ def test_wrap_keeps_every_character(spark):
     for _ in range(20):
         s = "".join(rng.choice("aあ漢😀 ") for _ in range(rng.randint(0, 60)))
         assert one(spark, text.wrap(F.col("s"), 7), s=s).replace("\n", "") == s
+
+
+@pytest.mark.parametrize("v", [6395.5, -175.5, 5323.5, 106.5, 1.005, -0.00001, 2.5, 1e15, float("nan"), None])
+def test_printed_numbers_round_by_their_exact_value(spark, v):
+    (r,) = spark.createDataFrame([(v,)], "v double").select(text.percent(F.col("v") / 10000).alias("p"), text.number(F.col("v"), 2, " %").alias("n"), text.number(F.col("v")).alias("whole")).collect()
+    assert tuple(r) == (("-",) * 3 if v is None else (f"{v / 10000 * 100.0:.2f}%", f"{v:.2f} %", f"{v:.0f}"))
