@@ -82,3 +82,8 @@ def sum_before(rows: DataFrame, by: list[str], order: list[str], value: Column,
     held = with_before(held, n, by, F.sum("_summed"), F.lit(0), lambda a, b: a + b)
     inside = line(by, order).rowsBetween(Window.unboundedPreceding, -1)
     return held.withColumn(name, F.col("_before") + F.coalesce(F.sum("_summed").over(inside), F.lit(0))).drop("_summed", "_before", "_part")
+
+
+def number(rows: DataFrame, by: list[str], order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """``rows`` numbered from 0 inside their key; a row number of which no task holds a key."""
+    return sum_before(rows, by, order, F.lit(1).cast("bigint"), name, parts)

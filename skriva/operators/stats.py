@@ -60,7 +60,7 @@ def bootstrap(pairs: DataFrame, unit: str, order: list[str], n_boot: int, seed:
     sums them up where they are.
     """
     spark = pairs.sparkSession
-    numbered = scan.sum_before(pairs, [unit], order, F.lit(1).cast("bigint"), "_i")
+    numbered = scan.number(pairs, [unit], order, "_i")
     sizes = numbered.groupBy(unit).agg(F.count("*").alias("_n"))
     draws = sizes.crossJoin(spark.range(n_boot).withColumnRenamed("id", "boot_id")).withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
     draws = draws.withColumn("_i", draw(seed, F.col("boot_id"), F.col("_slot"), F.col("_n"))).select(unit, "boot_id", "_i")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skriva.operators import scan
 from skriva.operators import stats as S
 from skriva.plans.registered import query, read
 
@@ -153,10 +154,8 @@ def favour_share(spark, d):
     select n.key, round(quantile_cont(rate, 0.025), 6) as lo, round(quantile_cont(rate, 0.975), 6) as hi from n left join r using (key) group by n.key"""
 )
 def block_bootstrap(spark, d):
-    from pyspark.sql import Window
-
-    line = Window.partitionBy("event_type").orderBy("event_id")
-    rows = read(spark, d, "events").select(F.col("event_type").alias("key"), (F.row_number().over(line) - 1).alias("pos"), (F.col("value") > 50).cast("int").alias("err"))
+    rows = read(spark, d, "events").select(F.col("event_type").alias("key"), "event_id", (F.col("value") > 50).cast("int").alias("err"))
+    rows = scan.number(rows, ["key"], ["event_id"], "pos")
     got = S.block_bootstrap(rows, "key", "pos", "err", N_BLOCK_BOOT)
     return got.select("key", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
@@ -172,10 +171,8 @@ def resample_count(spark, d):
     (select l_returnflag, l_quantity, row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 as l_orderkey from lineitem) group by all having count(*) = 7"""
 )
 def block_rate(spark, d):
-    from pyspark.sql import Window
-
-    line = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("unit"), "l_quantity", (F.row_number().over(line) - 1).alias("step"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = scan.number(read(spark, d, "lineitem").select(F.col("l_returnflag").alias("unit"), *order, "l_quantity"), ["unit"], order, "step")
     return S.block_rate(rows, "unit", "step", "l_quantity", 7).select("unit", "block", F.round("rate", 6).alias("rate"))
 
 

@@ -4,9 +4,11 @@ import random
 from itertools import groupby
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skriva.operators import chunking, joins, scan, stats, timing
+from skriva.plans.catalogue import QUERIES
 
 
 @pytest.mark.parametrize("fanout,parts", [(2, 17), (3, 1), (64, 17)])
@@ -88,3 +90,16 @@ def test_block_sums_of_one_long_line(spark):
     errors = [(("f", i, int(i % 7 == 0))) for i in range(1500)]
     got = stats.block_bootstrap(spark.createDataFrame(errors, "f string, i int, e int"), "f", "i", "e", n_boot=20, block=100).collect()
     assert len(got) == 1 and abs(got[0].lo - 1 / 7) < 0.02 and abs(got[0].hi - 1 / 7) < 0.02
+
+
+def test_rows_are_numbered_through_parts(spark):
+    rows = spark.range(4000).select((F.col("id") % 2).alias("k"), ((F.col("id") * 7919) % 4001).alias("o"))
+    got = scan.number(rows, ["k"], ["o"], "n", parts=16)
+    want = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("o")) - 1)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize("query", ["block_rate", "block_bootstrap"])
+def test_queries_over_few_keys_number_rows_in_parts(spark, query):
+    plan = QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_part" in w.split("specifiedwindowframe")[0] for w in plan.split("windowspecdefinition(")[1:]), plan
