@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skriva.functions import text
@@ -38,7 +38,7 @@ def anchors(ops: Column, min_anchor: int = 8, max_span: int = 40) -> Column:
 def nearest_rank(values: Column, q: float) -> Column:
     """The value at the half-even rounded rank; not interpolated."""
     s = F.array_sort(values)
-    return F.try_element_at(s, (F.bround(F.lit(q / 100.0) * (F.size(s) - 1)).cast("int") + 1))
+    return F.when(F.size(s) > 0, F.try_element_at(s, (F.bround(F.lit(q / 100.0) * (F.size(s) - 1)).cast("int") + 1)))
 
 
 def slope(y: Column, x: Column) -> Column:
@@ -53,31 +53,53 @@ def upper_median(values: Column) -> Column:
 
 def drift(errors: DataFrame, by: str, error_ms: str = "error_ms", at_min: str = "at_min") -> DataFrame:
     """Statistics of signed anchor errors by file."""
+    return errors.groupBy(by).agg(F.count("*").alias("anchors"), *_drift(error_ms, at_min))
+
+
+def _drift(error_ms: str, at_min: str) -> list[Column]:
     size = F.abs(F.col(error_ms))
-    return errors.groupBy(by).agg(
-        F.count("*").alias("anchors"), F.median(size).alias("median_abs_ms"), nearest_rank(F.collect_list(size), 95).alias("p95_abs_ms"), F.max(size).alias("max_abs_ms"),
+    return [
+        F.median(size).alias("median_abs_ms"), nearest_rank(F.collect_list(size), 95).alias("p95_abs_ms"), F.max(size).alias("max_abs_ms"),
         F.median(error_ms).alias("constant_offset_ms"), slope(F.col(error_ms), F.col(at_min)).alias("drift_slope_ms_per_min"), (F.max(at_min) - F.min(at_min)).alias("span_min"),
-    )
+    ]
 
 
 def anchor_errors(ref: DataFrame, hyp: DataFrame, by: str = "file_id", min_anchor: int = 8, max_span: int = 40) -> DataFrame:
     """(by, error_ms, at_min, len, ref_chars) at the middle of every anchor."""
-    whole = lambda cues: timeline(cues, by).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("char_pos", "ch", "t_s"))).alias("line"))
-    both = whole(ref).select(by, F.col("line").alias("r")).join(whole(hyp).select(by, F.col("line").alias("h")), by)
-    both = both.withColumn("ops", align.edit_script(F.col("r.ch"), F.col("h.ch")))
-    rows = both.select(by, "r", "h", F.explode(anchors(F.col("ops"), min_anchor, max_span)).alias("a"))
+    return _anchored(ref, hyp, by, min_anchor, max_span).where("len is not null")
+
+
+def _anchored(ref: DataFrame, hyp: DataFrame, by: str, min_anchor: int, max_span: int) -> DataFrame:
+    """``anchor_errors``, and one row of nulls for a file of both sides without anchors.
+
+    What moves is one row a cue; characters get their times only where an anchor asks.
+    """
+    before = Window.partitionBy(by).orderBy("cue_idx").rowsBetween(Window.unboundedPreceding, -1)
+
+    def whole(cues: DataFrame, side: str) -> DataFrame:
+        said = cues.select(by, "cue_idx", "start_s", "end_s", F.coalesce(text.normalize_chars(F.col("text")), F.lit("")).alias("said")).withColumn("n", F.length("said"))
+        said = said.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        return said.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("cue_idx", "first", "n", "start_s", "end_s", "said"))).alias(side))
+
+    both = whole(ref, "r").join(whole(hyp, "h"), by)
+    own = lambda side: F.flatten(F.transform(side, lambda c, k: F.array_repeat(k + 1, c["n"])))  # noqa: E731  the cue of each character
+    line = lambda side: F.array_join(F.transform(side, lambda c: c["said"]), "")
+    rows = both.select(by, "r", "h", own("r").alias("in_r"), own("h").alias("in_h"), line("r").alias("ref"), align.edit_script(line("r"), line("h")).alias("ops"))
+    rows = rows.select(by, "r", "h", "in_r", "in_h", F.length("ref").alias("ref_chars"), F.explode_outer(anchors(F.col("ops"), min_anchor, max_span)).alias("a"))
+
+    def at(side: str, pos: Column) -> Column:
+        cue = F.try_element_at(F.col(side), F.try_element_at(F.col(f"in_{side}"), (pos + 1).cast("int")))
+        return cue["start_s"] + F.greatest(cue["end_s"] - cue["start_s"], F.lit(1e-6)) * ((pos - cue["first"]) + 0.5) / cue["n"]
+
     mid = F.floor(F.col("a.len") / 2).cast("int")
-    rt, ht = F.try_element_at(F.col("r.t_s"), F.col("a.ref_pos") + mid + 1), F.try_element_at(F.col("h.t_s"), F.col("a.hyp_pos") + mid + 1)
-    return rows.select(by, ((ht - rt) * 1000.0).alias("error_ms"), (rt / 60.0).alias("at_min"), F.col("a.len").alias("len"), F.size("r").alias("ref_chars"))
+    timed = rows.select(by, at("r", F.col("a.ref_pos") + mid).alias("rt"), at("h", F.col("a.hyp_pos") + mid).alias("ht"), F.col("a.len").alias("len"), "ref_chars")
+    return timed.select(by, ((F.col("ht") - F.col("rt")) * 1000.0).alias("error_ms"), (F.col("rt") / 60.0).alias("at_min"), "len", "ref_chars")
 
 
 def drift_stats(ref: DataFrame, hyp: DataFrame, by: str = "file_id", min_anchor: int = 8, max_span: int = 40) -> DataFrame:
     """``drift`` and anchor_coverage of every file that both sides have; without anchors the count is 0."""
-    errors = anchor_errors(ref, hyp, by, min_anchor, max_span)
-    covered = errors.groupBy(by).agg((F.sum("len") / F.greatest(F.max("ref_chars"), F.lit(1))).alias("anchor_coverage"))
-    files = ref.select(by).distinct().join(hyp.select(by).distinct(), by)
-    out = files.join(drift(errors, by), by, "left").join(covered, by, "left")
-    return out.withColumn("anchors", F.coalesce("anchors", F.lit(0).cast("bigint"))).withColumn("anchor_coverage", F.coalesce("anchor_coverage", F.lit(0.0)))
+    covered = F.coalesce(F.sum("len") / F.greatest(F.max("ref_chars"), F.lit(1)), F.lit(0.0))
+    return _anchored(ref, hyp, by, min_anchor, max_span).groupBy(by).agg(F.count("len").alias("anchors"), *_drift("error_ms", "at_min"), covered.alias("anchor_coverage"))
 
 
 def mid_phrase(ref: DataFrame, hyp_ends: DataFrame, by: str, end: str = "h", tol: float = 0.5) -> DataFrame:

@@ -375,3 +375,22 @@ def test_markdown_and_prompts(spark):
         sinks.markdown(rows, most=1)
     ids = spark.createDataFrame([([1, 2, 3, 4],), ([],)], "e array<int>").select(sweeps.prompt_ids(9, 0, F.lit(2), F.col("e"), 3)).collect()
     assert [r[0] for r in ids] == [[9, 2, 3, 4, 0, 0], [9, 0, 0]]
+
+
+def test_drift_moves_cues_not_characters(spark):
+    """One alignment a file and a row a cue; empty and null cues have no characters, a file without anchors still counts."""
+    said = ["ここは長い文章の始まりです", "", None, "そして次の文がここに続きます"]
+    rows = [(f, k, t, float(k), k + 1.0) for f in ("a", "b") for k, t in enumerate(said)] + [("none", 0, "短い", 0.0, 1.0), ("ref only", 0, said[0], 0.0, 1.0)]
+    ref = spark.createDataFrame(rows, "file_id string, cue_idx int, text string, start_s double, end_s double")
+    hyp = ref.where("file_id <> 'ref only'").withColumn("start_s", F.col("start_s") + F.when(F.col("file_id") == "b", 0.25).otherwise(0)).withColumn("end_s", F.col("end_s") + F.when(F.col("file_id") == "b", 0.25).otherwise(0))
+    out = timing.drift_stats(ref, hyp)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("edit_script(") == 1 and "posexplode" not in plan
+    got = {r.file_id: r for r in out.collect()}
+    assert set(got) == {"a", "b", "none"}
+    assert (got["a"].anchors, got["a"].median_abs_ms, got["a"].anchor_coverage) == (1, 0.0, 1.0)
+    assert (got["b"].anchors, got["b"].median_abs_ms, got["b"].p95_abs_ms) == (1, 250.0, 250.0)
+    assert (got["none"].anchors, got["none"].p95_abs_ms, got["none"].anchor_coverage) == (0, None, 0.0)
+    times = {r.char_pos: r.t_s for r in timing.timeline(ref.where("file_id = 'a'")).collect()}
+    (e,) = timing.anchor_errors(ref, hyp).where("file_id = 'a'").collect()
+    assert e.at_min == times[e.len // 2] / 60.0 and e.ref_chars == len(times)
