@@ -5,10 +5,11 @@ None of them compares every row with every row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,17 +45,23 @@ def band(left: DataFrame, right: DataFrame, left_on: str, right_on: str, tol: fl
 
 
 def greedy(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:
-    """One-to-one matches among candidate pairs, nearest first, then by a, then b; uniqueness is by value."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        gap = (pdf[a] - pdf[b]).abs()
-        used_a, used_b, rows = set(), set(), []
-        for x, y in pdf.assign(gap=gap).sort_values(["gap", a, b])[[a, b]].itertuples(index=False):
-            if x not in used_a and y not in used_b:
-                used_a.add(x)
-                used_b.add(y)
-                rows.append((pdf[by].iloc[0], x, y))
-        return pd.DataFrame(rows, columns=[by, a, b])
-
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.select(by, a, b).distinct().groupBy(by).applyInPandas(match, f"{by} {kinds[by]}, {a} double, {b} double")
+    """One-to-one matches among candidate pairs, nearest first, then by a, then b; uniqueness is by value.
+
+    Pairs are sorted by Spark and read as a stream; of a key only the values used so far are held.
+    """
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used_a, used_b = None, set(), set()
+        for batch in batches:
+            kept = []
+            for n, (k, x, y) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if k != key:
+                    key, used_a, used_b = k, set(), set()
+                if x not in used_a and y not in used_b:
+                    used_a.add(x)
+                    used_b.add(y)
+                    kept.append(n)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = pairs.select(by, F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b))
+    return rows.repartition(by).sortWithinPartitions(by, F.abs(F.col(a) - F.col(b)), a, b).mapInArrow(match, rows.schema)

@@ -394,3 +394,18 @@ def test_drift_moves_cues_not_characters(spark):
     times = {r.char_pos: r.t_s for r in timing.timeline(ref.where("file_id = 'a'")).collect()}
     (e,) = timing.anchor_errors(ref, hyp).where("file_id = 'a'").collect()
     assert e.at_min == times[e.len // 2] / 60.0 and e.ref_chars == len(times)
+
+
+def test_greedy_reads_sorted_pairs_of_many_keys(spark):
+    rng = random.Random(4)
+    rows = [(k if k else None, rng.randrange(6) / 4, rng.randrange(6) / 4) for k in range(60) for _ in range(rng.randint(1, 12))]
+    want = []
+    for k in {r[0] for r in rows}:
+        used = set(), set()
+        for _, x, y in sorted((abs(x - y), x, y) for j, x, y in rows if j == k):
+            if x not in used[0] and y not in used[1]:
+                want.append((k, x, y))
+                used[0].add(x), used[1].add(y)
+    out = joins.greedy(spark.createDataFrame(rows, "k int, a double, b double"), "k", "a", "b")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()  # a frame a key costs more than its matches
