@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skriva.functions import kana, lattice
@@ -118,3 +119,14 @@ def test_batched_scores_equal_those_of_one_pair(spark):
         assert (s.coverage_kana, s.kana_excused) == align.coverage_kana(a, b, 6, reader=reader)
         rate, _, charged = align.coverage_lenient(a, b, 6, reader=reader)
         assert (s.coverage_lenient, s.charged_edits) == (rate, charged)
+
+
+def test_a_batch_is_python_objects_a_slice_at_a_time(monkeypatch):
+    texts = pa.array(["漢" * (k % 50) if k % 7 else None for k in range(3000)]).slice(5)
+    monkeypatch.setattr(readings, "SLICE", 4096)
+    seen = []
+    got = readings.by_slices(lambda ts: [seen.append(sum(len(t or "") * 3 for t in ts)) or t for t in ts], texts)
+    assert got.to_pylist() == texts.to_pylist() and max(seen) <= 4096
+    runs = list(readings.slices(texts, texts))
+    assert [lo for lo, _ in runs] == [0, *(lo + n for lo, n in runs)][:-1] and sum(n for _, n in runs) == len(texts)
+    assert not list(readings.slices(texts.slice(0, 0)))
